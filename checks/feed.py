@@ -115,3 +115,103 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
             times.local_date(F.col("last_ms") + 1500, DEFAULT_ZONE).alias("local_date"),
         )
     )
+
+
+def reports_and_sessions(spark: SparkSession, sf_dir: str, at: int = 0):
+    """(sessions, reports) of all faces, as the daily job would store them."""
+    from sightline.operators.reports import reports_from_sessions
+    from sightline.operators.sessions import presence_sessions
+
+    sessions = presence_sessions(faces(spark, sf_dir), GAPS_240, at)
+    return sessions, reports_from_sessions(sessions, at)
+
+
+def _text(*parts) -> F.Column:
+    """Concatenate literals (plain strings) and columns."""
+    return F.concat(
+        *[p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts]
+    )
+
+
+def raw_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw bodies as they would be received: three events per payload, some of them malformed,
+    too big, without alarm or with bad timestamps; every tenth payload is delivered twice."""
+    n, g, user = F.col("n"), F.col("g"), F.col("user_id")
+    ms = F.col("seen_at_ms")
+    key = (
+        F.when(n % 17 == 0, "motion")
+        .when(n % 4 == 0, "license_plate_known")
+        .when(F.col("event_type") == "error", "face_unknown")
+        .otherwise("face_known")
+    )
+    event_id = (
+        F.when(n % 13 == 0, "")
+        .when(n % 19 == 0, "testEventId")
+        .when(n % 23 == 0, _text("dup-", n % 10))
+        .otherwise(_text("e-", n))
+    )
+    value = F.when(n % 5 == 0, "").when(n % 4 == 0, _text('"value":" ab-', user, '",')).otherwise(
+        _text('"value":"User  ', user, '",')
+    )
+    group = F.when(n % 10 == 0, _text('"group":{"name":"Group ', user, '","id":3},')).otherwise("")
+    image = (
+        F.when(n % 7 == 0, '"image":"QUJD",')
+        .when(n % 7 == 1, '"image":"data:image/jpeg;base64,QUJD",')
+        .when(n % 7 == 2, '"image":"<svg>",')
+        .otherwise("")
+    )
+    stamp = (
+        F.when(n % 29 == 0, _text('"', ms, '"'))
+        .when(n % 11 == 0, _text(F.floor(ms / 1000)))
+        .otherwise(_text(ms))
+    )
+    trigger = F.concat(
+        F.lit("{"), value, group, image,
+        _text('"key":"', key, '","device":"Cam-', n % 5, '","eventId":"', event_id,
+              '","timestamp":', stamp, "}"),
+    )
+    grouped = (
+        _sightings(spark, sf_dir)
+        .withColumn("g", F.floor(n / 3))
+        .withColumn("trigger", trigger)
+        .groupBy("g")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("n", "trigger"))).alias("ts"),
+            F.max("seen_at_ms").alias("last_ms"),
+        )
+    )
+    triggers = F.array_join(F.transform("ts", lambda t: t["trigger"]), ",")
+    conditions = F.when(g % 3 == 0, '{"condition":{"source":"face_unknown"}}').otherwise(
+        _text('{"condition":{"type":"is","source":"face_known","value":"P', g % 50,
+              '"}},{"condition":{"source":"face_known","value":"other"}}')
+    )
+    note_image = F.when(g % 4 == 0, '"image":"SU1H",').otherwise("")
+    body = F.concat(
+        F.lit("{"), note_image,
+        _text('"alarm":{"name":"Alarm ', g % 7, '","eventPath":"/e/', g, '","conditions":['),
+        conditions, _text('],"triggers":['), triggers,
+        _text(']},"timestamp":', F.col("last_ms"), "}"),
+    )
+    broken = (
+        F.when(g % 97 == 5, F.concat(body, F.lit(" trailing")))
+        .when(g % 89 == 3, F.substring(body, 1, 40))
+        .when(g % 211 == 7, F.lit("null"))
+        .when(g % 101 == 9, F.concat(body, F.lit(" " * 1500)))
+        .when(g % 83 == 2, _text('{"note":', g, "}"))
+        .otherwise(body)
+    )
+    copies = F.when(g % 10 == 0, F.array(F.lit(0), F.lit(60_000))).otherwise(F.array(F.lit(0)))
+    return grouped.select(broken.alias("raw_body"), "last_ms", F.explode(copies).alias("late")).select(
+        "raw_body",
+        (F.col("last_ms") + 1500 + F.col("late")).alias("received_at_ms"),
+        F.lit("10.0.0.1").alias("source_ip"),
+    )
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path: under the cluster's shared folder, or a local one in local tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Integers above this lose digits in a double, as they do in the source system.
-_EXACT_INT = 2**53
+# Numbers with more digits may lose some in a double, as they do in the source system.
+_EXACT_CHARS = 15
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, as a step that filters are not pushed through.
+
+    Spark would push a filter on a parsed field below the parsing, substituting the whole
+    chain of expressions for each use of a field. Predicates on generated columns stay put.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
 
 
 def parse_strict(df: DataFrame, body: str, out: str, wanted: Column) -> DataFrame:
@@ -40,47 +49,68 @@ def items(value, path: str) -> Column:
     )
 
 
-def kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def typed(values: Column, paths: dict[str, str], keep: str | None = None) -> Column:
+    """For each variant of an array a struct of (kind, text) pairs, one per path.
 
+    Chained `transform`s bind every extracted value once; writing the same as nested
+    expressions would repeat the extraction in each use. `keep` adds the variant itself.
+    """
+    pulled = F.transform(
+        values,
+        lambda v: F.struct(v.alias("_v"), *[at(v, path).alias(n) for n, path in paths.items()]),
+    )
 
-def strict_string(value: Column) -> Column:
-    """The value if it is a JSON string, else null."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    def pairs(r: Column) -> Column:
+        own = [r["_v"].alias(keep)] if keep else []
+        return F.struct(
+            *own,
+            *[
+                F.struct(
+                    F.schema_of_variant(r[n]).alias("kind"),
+                    F.try_variant_get(r[n], "$", "string").alias("text"),
+                ).alias(n)
+                for n in paths
+            ],
+        )
+
+    return F.transform(pulled, pairs)
 
 
-def is_number(value: Column) -> Column:
-    k = kind(value)
-    return F.coalesce((k == "BIGINT") | (k == "DOUBLE") | k.startswith("DECIMAL"), F.lit(False))
+def typed_one(value: Column, paths: dict[str, str]) -> Column:
+    """The struct of (kind, text) pairs of a single variant."""
+    return F.get(typed(F.array(value), paths), F.lit(0))
 
 
-def number(value: Column) -> Column:
+def strict_string(pair: Column) -> Column:
+    """The value if it is a JSON string, else null."""
+    return F.when(pair["kind"] == "STRING", pair["text"])
+
+
+def number(pair: Column) -> Column:
     """The value as a double if it is a JSON number, else null."""
-    return F.when(is_number(value), F.try_variant_get(value, "$", "double"))
+    k = pair["kind"]
+    return F.when(
+        (k == "BIGINT") | (k == "DOUBLE") | k.startswith("DECIMAL"), pair["text"].try_cast("double")
+    )
 
 
-def number_text(value: Column) -> Column:
+def number_text(pair: Column) -> Column:
     """Plain decimal text of a JSON number, without exponent or trailing zeros."""
-    exact = F.try_variant_get(value, "$", "bigint")
-    double = F.try_variant_get(value, "$", "double")
-    wide = double.cast("string").try_cast("decimal(38,10)").cast("string")
+    short = (pair["kind"] != "DOUBLE") & (F.length(pair["text"]) <= _EXACT_CHARS)
+    wide = number(pair).cast("string").try_cast("decimal(38,10)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(wide, r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
-    return F.when(
-        (kind(value) == "BIGINT") & exact.between(-_EXACT_INT, _EXACT_INT), exact.cast("string")
-    ).otherwise(F.coalesce(plain, double.cast("string")))
+    return F.when(short, pair["text"]).otherwise(F.coalesce(plain, pair["text"]))
 
 
-def truthy_text(value: Column) -> Column:
+def truthy_text(pair: Column) -> Column:
     """Text of a value, or null if it counts as empty (missing, null, '', 0, false)."""
-    k = kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    listed = F.transform(
-        F.try_variant_get(value, "$", "array<string>"), lambda x: F.coalesce(x, F.lit(""))
-    )
+    k, text = pair["kind"], pair["text"]
+    listed = F.transform(F.from_json(text, "array<string>"), lambda x: F.coalesce(x, F.lit("")))
     return (
         F.when(k == "STRING", F.nullif(text, F.lit("")))
+        .when(k.isNull() | (k == "VOID"), None)
         .when(k == "BOOLEAN", F.when(text == "true", text))
         .when(k.startswith("OBJECT"), F.lit("[object Object]"))
         .when(k.startswith("ARRAY"), F.array_join(listed, ","))
-        .when(is_number(value) & (F.try_variant_get(value, "$", "double") != 0), number_text(value))
+        .when(number(pair) != 0, number_text(pair))
     )

@@ -60,12 +60,15 @@ def latest_markers(markers: DataFrame) -> DataFrame:
 
 def _error_struct(value: str, parsed: str, now_ms: int) -> F.Column:
     """Typed error marker. Text that is not JSON is an old-style marker; other JSON is none."""
+    fields = lj.typed_one(
+        F.col(parsed), {"code": "$.code", "operation": "$.operation", "at_ms": "$.at_ms"}
+    )
 
     def text(name, default):
-        return F.coalesce(lj.strict_string(lj.at(F.col(parsed), f"$.{name}")), F.lit(default))
+        return F.coalesce(lj.strict_string(fields[name]), F.lit(default))
 
-    kind = lj.kind(F.col(parsed))
-    at_ms = F.coalesce(lj.number(lj.at(F.col(parsed), "$.at_ms")).cast("long"), F.lit(now_ms))
+    kind = F.schema_of_variant(parsed)
+    at_ms = F.coalesce(lj.number(fields["at_ms"]).cast("long"), F.lit(now_ms))
     typed = F.struct(
         text("code", "UNKNOWN").alias("code"),
         text("operation", "unknown").alias("operation"),
@@ -76,9 +79,11 @@ def _error_struct(value: str, parsed: str, now_ms: int) -> F.Column:
         F.lit("unknown").alias("operation"),
         F.lit(now_ms).cast("long").alias("at_ms"),
     )
-    return F.when(F.col(value).isNull() | (F.col(value) == ""), None).when(
-        F.col(parsed).isNull(), legacy
-    ).when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), typed)
+    return (
+        F.when(F.col(value).isNull() | (F.col(value) == ""), None)
+        .when(F.col(parsed).isNull(), legacy)
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), typed)
+    )
 
 
 def read_markers(markers: DataFrame, now_ms: int) -> DataFrame:

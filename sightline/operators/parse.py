@@ -49,58 +49,99 @@ def target_wanted(name: Column, person_id: Column, params: JobParams) -> Column:
     return hit
 
 
-def epoch_ms(value: Column) -> Column:
-    """P5: a JSON number as epoch ms (seconds are scaled), null when invalid."""
-    raw = lj.number(value)
+def epoch_ms(raw: Column) -> Column:
+    """P5: a number as epoch ms (seconds are scaled), null when invalid."""
     scaled = F.when((raw > 0) & (raw < SECONDS_BELOW), raw * 1000).otherwise(raw)
-    ms = F.when(scaled.between(-1e15, 1e15), scaled).try_cast("bigint")
+    ms = scaled.try_cast("bigint")
     return F.when(ms.between(0, MAX_EPOCH_MS), ms)
 
 
-def delivery_key(payload: Column) -> Column:
-    """Hash of alarm identity, time and trigger event ids; no personal data in it."""
+HEAD_PATHS = {
+    "name": "$.alarm.name",
+    "path": "$.alarm.eventPath",
+    "alarm_ts": "$.alarm.timestamp",
+    "root_ts": "$.timestamp",
+    "root_image": "$.image",
+    "alarm_image": "$.alarm.image",
+    "first_event": "$.alarm.triggers[0].eventId",
+}
+TRIGGER_PATHS = {
+    "key": "$.key",
+    "device": "$.device",
+    "event": "$.eventId",
+    "value": "$.value",
+    "group": "$.group.name",
+    "ts": "$.timestamp",
+    "image": "$.image",
+}
+CONDITION_PATHS = {"source": "$.condition.source", "value": "$.condition.value"}
+
+
+def delivery_key(head: Column, triggers: Column) -> Column:
+    """Hash of alarm identity, time and trigger event ids; no personal data in it.
+
+    `head` and `triggers` are the typed fields of a payload.
+    """
 
-    def text(path):
-        return F.coalesce(lj.strict_string(lj.at(payload, path)), F.lit(""))
+    def text(name):
+        return F.coalesce(lj.strict_string(head[name]), F.lit(""))
 
-    def stamp(path):
-        value = lj.at(payload, path)
-        return F.when(lj.is_number(value), lj.number_text(value))
+    def stamp(name):
+        return F.when(lj.number(head[name]).isNotNull(), lj.number_text(head[name]))
 
-    ids = F.transform(
-        lj.items(payload, "$.alarm.triggers"), lambda t: lj.strict_string(lj.at(t, "$.eventId"))
-    )
+    ids = F.transform(triggers, lambda t: lj.strict_string(t["event"]))
     ids = F.array_sort(F.filter(ids, lambda i: F.coalesce(i != "", F.lit(False))))
-    when = F.coalesce(stamp("$.alarm.timestamp"), stamp("$.timestamp"), F.lit(""))
-    head = F.array(F.lit("v1"), text("$.alarm.name"), text("$.alarm.eventPath"), when)
-    return F.sha2(F.array_join(F.concat(head, ids), "\n"), 256)
-
+    when = F.coalesce(stamp("alarm_ts"), stamp("root_ts"), F.lit(""))
+    first = F.array(F.lit("v1"), text("name"), text("path"), when)
+    return F.sha2(F.array_join(F.concat(first, ids), "\n"), 256)
+
+
+def _trigger_texts(typed: Column) -> Column:
+    """Typed trigger fields as plain values: texts, the two ids as sent, and the time."""
+
+    def plain(t: Column) -> Column:
+        def text(name):
+            return lj.truthy_text(t[name])
+
+        return F.struct(
+            t["t"].alias("t"),
+            t["event"].alias("event"),
+            F.coalesce(text("key"), F.lit("")).alias("trigger_key"),
+            F.coalesce(text("device"), F.lit("")).alias("camera_id"),
+            text("event").alias("raw_event_id"),
+            F.coalesce(text("value"), text("group")).alias("label"),
+            epoch_ms(lj.number(t["ts"])).alias("seen_at_ms"),
+            text("image").alias("image"),
+        )
 
-def _bad_time(trigger: Column, params: JobParams) -> Column:
-    key = F.coalesce(lj.truthy_text(lj.at(trigger, "$.key")), F.lit(""))
-    counted = (
-        sighting_kind(key, params.vehicles).isNotNull()
-        & camera_wanted(lj.truthy_text(lj.at(trigger, "$.device")), params)
-        & lj.truthy_text(lj.at(trigger, "$.eventId")).isNotNull()
-    )
-    return counted & epoch_ms(lj.at(trigger, "$.timestamp")).isNull()
+    return F.transform(typed, plain)
 
 
 def check_payloads(raw: DataFrame, params: JobParams) -> DataFrame:
-    """One row per raw body with `payload` (variant) and `reason` of rejection."""
+    """One row per raw body with its typed `triggers` and `reason` of rejection."""
     fits = F.octet_length("raw_body") <= params.max_body_bytes
     parsed = lj.parse_strict(raw, "raw_body", "payload", fits)
-    bad_time = F.exists(
-        lj.items(F.col("payload"), "$.alarm.triggers"), lambda t: _bad_time(t, params)
+    triggers = lj.items(F.col("payload"), "$.alarm.triggers")
+    read = parsed.withColumn(
+        "triggers", _trigger_texts(lj.typed(triggers, TRIGGER_PATHS, keep="t"))
     )
+
+    def bad_time(t: Column) -> Column:
+        counted = (
+            sighting_kind(t["trigger_key"], params.vehicles).isNotNull()
+            & camera_wanted(t["camera_id"], params)
+            & t["raw_event_id"].isNotNull()
+        )
+        return counted & t["seen_at_ms"].isNull()
+
     reason = (
         F.when(~fits, F.lit("rejected_body"))
         # A bare `null` body crashes the source system; here it counts as bad JSON.
         .when(F.col("payload").isNull(), F.lit("rejected_json"))
-        .when(lj.kind(F.col("payload")) == "VOID", F.lit("rejected_json"))
-        .when(bad_time, F.lit("rejected_json"))
+        .when(F.schema_of_variant("payload") == "VOID", F.lit("rejected_json"))
+        .when(F.exists("triggers", bad_time), F.lit("rejected_json"))
     )
-    return parsed.withColumn("reason", reason)
+    return lj.settled(read.withColumn("reason", reason))
 
 
 def _redacted_plate_json(trigger: Column) -> Column:
@@ -121,79 +162,82 @@ def _redacted_plate_json(trigger: Column) -> Column:
     ).otherwise(F.to_json(masked))
 
 
+_HEAD_COLUMNS = [
+    "reason", "notification_id", "delivery_key", "received_at_ms", "source_ip", "head_event_id",
+    "local_date", "alarm_text", "note_image", "outer_image", "conditions",
+]
+
+
 def alarm_lines(raw: DataFrame, params: JobParams) -> DataFrame:
     """One row per trigger (P1); payloads without triggers and rejects keep one row.
 
     `kind` is `face`, `vehicle` or null. `is_head` marks the one row per payload that also
     carries the notification itself, so a single parsed frame feeds every sink.
     """
-    p = F.col("payload")
-    outer_image = F.coalesce(
-        lj.truthy_text(lj.at(p, "$.image")), lj.truthy_text(lj.at(p, "$.alarm.image"))
+    ok = F.col("reason").isNull()
+    p = F.when(ok, F.col("payload"))
+    conditions = F.transform(
+        lj.typed(lj.items(p, "$.alarm.conditions"), CONDITION_PATHS),
+        lambda c: F.struct(
+            lj.strict_string(c["source"]).alias("source"),
+            F.coalesce(lj.truthy_text(c["value"]), F.lit("")).alias("value"),
+        ),
     )
+    h = F.col("head")
     heads = (
         check_payloads(raw, params)
-        .withColumn(
-            "notification_id",
-            F.sha2(F.concat_ws("\n", "received_at_ms", "source_ip", "raw_body"), 256),
-        )
-        .withColumn("local_date", times.local_date("received_at_ms", params.zone))
-        .withColumn("payload", F.when(F.col("reason").isNull(), p))
-        .withColumn("delivery_key", F.when(p.isNotNull(), delivery_key(p)))
-        .withColumn(
-            "head_event_id",
-            F.coalesce(lj.truthy_text(lj.at(p, "$.alarm.triggers[0].eventId")), F.lit("N/A")),
+        .withColumns({"head": lj.typed_one(p, HEAD_PATHS), "conditions": conditions})
+        .withColumns(
+            {
+                "notification_id": F.sha2(
+                    F.concat_ws("\n", "received_at_ms", "source_ip", "raw_body"), 256
+                ),
+                "local_date": times.local_date("received_at_ms", params.zone),
+                "triggers": F.when(ok & (F.size("triggers") > 0), F.col("triggers")),
+                "delivery_key": F.when(
+                    ok, delivery_key(h, F.coalesce("triggers", F.array()))
+                ),
+                "head_event_id": F.coalesce(lj.truthy_text(h["first_event"]), F.lit("N/A")),
+                "alarm_text": lj.truthy_text(h["name"]),
+                "outer_image": F.coalesce(
+                    lj.truthy_text(h["root_image"]), lj.truthy_text(h["alarm_image"])
+                ),
+            }
         )
-        .withColumn("alarm_text", lj.truthy_text(lj.at(p, "$.alarm.name")))
-        .withColumn("outer_image", outer_image)
         .withColumn("note_image", texts.jpeg_base64("outer_image"))
-        .withColumn("conditions", lj.items(p, "$.alarm.conditions"))
-        .withColumn("triggers", lj.items(p, "$.alarm.triggers"))
     )
     # The full body travels with the first line only and the parsed payload with none, so
-    # a payload with many triggers is not copied once per trigger.
-    entries = F.transform(
-        "triggers",
-        lambda t, i: F.struct(
-            i.alias("pos"), t.alias("t"), F.when(i == 0, F.col("raw_body")).alias("raw_body")
-        ),
-    )
-    bare = F.array(
-        F.struct(
-            F.lit(None).cast("int").alias("pos"),
-            F.lit(None).cast("variant").alias("t"),
-            F.col("raw_body").alias("raw_body"),
+    # a payload with many triggers is not copied once per trigger. All columns are generated
+    # ones, for the reason given at `settled`. `inline` without `outer` would make Spark infer
+    # a "not empty" filter below the parsing.
+    def line(t: Column, i: Column) -> Column:
+        return F.struct(
+            *[F.col(c).alias(c) for c in _HEAD_COLUMNS],
+            F.when(i == 0, F.col("raw_body")).alias("raw_body"),
+            F.when(t.isNotNull(), i).alias("pos"),
+            t["t"].alias("t"),
+            F.coalesce(t["trigger_key"], F.lit("")).alias("trigger_key"),
+            F.coalesce(t["camera_id"], F.lit("")).alias("camera_id"),
+            *[t[c].alias(c) for c in ("raw_event_id", "label", "seen_at_ms", "image")],
         )
-    )
-    dropped = ("triggers", "payload", "raw_body")
-    lines = heads.withColumn(
-        "entries", F.when(F.size("triggers") > 0, entries).otherwise(bare)
-    ).select(*[c for c in heads.columns if c not in dropped], F.inline("entries"))
-    t = F.col("t")
-    pulled = lines.select(
-        "*",
-        F.coalesce(lj.truthy_text(lj.at(t, "$.key")), F.lit("")).alias("trigger_key"),
-        F.coalesce(lj.truthy_text(lj.at(t, "$.device")), F.lit("")).alias("camera_id"),
-        lj.truthy_text(lj.at(t, "$.eventId")).alias("raw_event_id"),
-        F.coalesce(
-            lj.truthy_text(lj.at(t, "$.value")), lj.truthy_text(lj.at(t, "$.group.name"))
-        ).alias("label"),
-        epoch_ms(lj.at(t, "$.timestamp")).alias("seen_at_ms"),
-        F.coalesce(lj.truthy_text(lj.at(t, "$.image")), F.col("outer_image")).alias("own_image"),
-    )
+
+    entries = F.transform(F.coalesce("triggers", F.array(F.lit(None))), line)
+    pulled = heads.select(F.inline_outer(entries))
     match = F.get(
         F.filter(
-            F.col("conditions"),
-            lambda c: F.coalesce(
-                lj.strict_string(lj.at(c, "$.condition.source")) == F.col("trigger_key"),
-                F.lit(False),
-            ),
+            "conditions",
+            lambda c: F.coalesce(c["source"] == F.col("trigger_key"), F.lit(False)),
         ),
         F.lit(0),
     )
-    named = pulled.withColumn(
-        "person_id", F.coalesce(lj.truthy_text(lj.at(match, "$.condition.value")), F.lit(""))
-    ).withColumn("person_name", F.coalesce("label", F.lit("Unknown")))
+    named = pulled.withColumns(
+        {
+            "person_id": F.coalesce(match["value"], F.lit("")),
+            "person_name": F.coalesce("label", F.lit("Unknown")),
+            "own_image": F.coalesce("image", "outer_image"),
+        }
+    )
+    t = F.col("t")
     found = sighting_kind(F.col("trigger_key"), params.vehicles)
     usable = F.col("raw_event_id").isNotNull() & camera_wanted(F.col("camera_id"), params)
     wanted = (found == "vehicle") | target_wanted(

@@ -45,13 +45,3 @@ def live_sessions(
         )
         .select(key, "started_at_ms", "ended_at_ms", "sighting_count")
     )
-
-
-def trailing_counts(sightings: DataFrame, length: str, slide: str, watermark: str) -> DataFrame:
-    """Sightings per sliding window, the stream form of the trailing hour / day counts."""
-    return (
-        sightings.withWatermark("seen_ts", watermark)
-        .groupBy(F.window("seen_ts", length, slide).alias("w"))
-        .agg(F.count("*").alias("sightings"))
-        .select(F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "sightings")
-    )
