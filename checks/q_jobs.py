@@ -263,7 +263,7 @@ def _(spark, sf):
     + f""", h AS (SELECT person_key, local_date, {HEAT_HOURS} AS hours FROM reports),
 top AS (SELECT person_key, greatest(0.25, max(hours)) AS most FROM h GROUP BY 1)
 SELECT person_key, d AS local_date, coalesce(hours, 0) AS hours,
-  CAST(coalesce(floor(least(1, hours / most) * 10 + 0.5), 0) AS INT) AS level
+  CAST(CASE WHEN hours IS NULL THEN 0 ELSE floor(least(1, hours / most) * 10 + 0.5) END AS INT) AS level
 FROM top, (SELECT strftime(unnest(generate_series(DATE '2023-03-01', DATE '2024-01-31', INTERVAL 1 DAY)), '%Y-%m-%d') AS d)
 LEFT JOIN h ON h.person_key = top.person_key AND h.local_date = d""".replace("SELECT person_key, d", "SELECT top.person_key, d"),
 )

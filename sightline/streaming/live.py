@@ -15,12 +15,15 @@ from ..params import GapRules
 
 
 def entity_gap(key: str, rules: GapRules) -> Column:
-    """Gap of an entity as an interval for `session_window`."""
-    ms = F.lit(int(rules.default_ms))
+    """Gap of an entity as interval text for `session_window`."""
+    gap = F.lit(_milliseconds(rules.default_ms))
     for name, minutes in rules.by_entity.items():
-        ms = F.when(F.col(key) == name, int(minutes * 60_000)).otherwise(ms)
-    seconds = (ms / F.lit(1000)).cast("decimal(18,6)")
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds).cast("string")
+        gap = F.when(F.col(key) == name, _milliseconds(minutes * 60_000)).otherwise(gap)
+    return gap
+
+
+def _milliseconds(ms: float) -> str:
+    return f"{int(ms)} milliseconds"
 
 
 def live_sessions(
@@ -33,8 +36,8 @@ def live_sessions(
     """
     if rules.by_camera:
         raise ValueError("camera overrides are pairwise; re-cut the touched days instead")
-    gap = f"{int(rules.default_ms)} milliseconds"
-    window = F.session_window("seen_ts", entity_gap(key, rules) if rules.by_entity else gap)
+    gap = entity_gap(key, rules) if rules.by_entity else _milliseconds(rules.default_ms)
+    window = F.session_window("seen_ts", gap)
     return (
         sightings.withWatermark("seen_ts", watermark)
         .groupBy(window.alias("session"), key)
