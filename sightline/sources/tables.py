@@ -63,11 +63,14 @@ class Tables:
         return self._laid_out(df, table).write.partitionBy(*PARTITIONS.get(table, []))
 
     def clear_days(self, table: str, days: Iterable[str]) -> None:
-        """Empty days: dynamic overwrite leaves days alone that have no new rows."""
-        fields = [f for f in TABLES[table].fields if f.name != "local_date"]
-        empty = self.spark.createDataFrame([], TABLES[table]).select(*[f.name for f in fields])
+        """Drop whole days: a dynamic overwrite leaves days alone that have no new rows.
+
+        One file-system call per calendar day, no Spark job; repeating it is harmless.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for day in days:
-            empty.write.mode("overwrite").parquet(f"{self.path(table)}/local_date={day}")
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/local_date={day}")
+            folder.getFileSystem(conf).delete(folder, True)
 
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         """Write a frame to the shared folder and read it back: cuts the lineage in a way that
