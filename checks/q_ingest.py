@@ -33,6 +33,11 @@ def lines(spark, sf):
     return parse.alarm_lines(feed.raw_alarms(spark, sf), feed.PARAMS)
 
 
+def staged_lines(spark, sf):
+    """The lines as the ingest job uses them: parsed once and read from a staged copy."""
+    return Tables(spark, feed.scratch(spark, "lines")).staged(lines(spark, sf), "lines")
+
+
 def good(spark, sf):
     return lines(spark, sf).filter("reason IS NULL AND kind IS NOT NULL")
 
@@ -454,7 +459,7 @@ def _(spark, sf):
 FROM sent WHERE reason IS NULL GROUP BY 1""",
 )
 def _(spark, sf):
-    notes = parse.notifications_of(lines(spark, sf))
+    notes = parse.notifications_of(staged_lines(spark, sf))
     first = upserts.keep_first(notes, "delivery_key", ingest.NOTE_ORDER)
     stored = first.filter(F.col("received_at_ms") < MID).select("delivery_key", "id")
     ids = upserts.canonical_ids(first.select("delivery_key", "id"), stored)
@@ -506,7 +511,7 @@ def _kind_counts(kind, day_column="received_date"):
 
 
 def _planned(spark, sf):
-    found = lines(spark, sf)
+    found = staged_lines(spark, sf)
     early = F.col("received_at_ms") < MID
     stored = {
         "webhook_notifications": upserts.keep_first(
@@ -579,7 +584,7 @@ def _empty(spark):
 
 @query("A25_daily_counters", COUNTERS_WIDE_SQL)
 def _(spark, sf):
-    found = lines(spark, sf)
+    found = staged_lines(spark, sf)
     planned = ingest.plan_ingest(found, _empty(spark))
     rows = ingest.counter_rows(found, planned["notes"], planned, feed.PARAMS.zone)
     return counters.daily_counters(rows)

@@ -17,7 +17,7 @@ from sightline.operators import (
 )
 from sightline.params import GapRules
 from sightline.plans import daily, materialize as mat
-from sightline.plans.ingest import ingest
+from sightline.plans.ingest import batch_counters, ingest
 from sightline.sources import raw as raw_source
 from sightline.sources.tables import Tables
 from sightline.streaming import ingest as stream_ingest
@@ -687,4 +687,6 @@ def _(spark, sf):
 @query("S1_S6_batch_ingest", COUNTERS_SQL)
 def _(spark, sf):
     raw = raw_source.read_raw(spark, _landed(spark, sf, "batch"))
-    return ingest(raw, Tables(spark, feed.scratch(spark, "batch")), feed.PARAMS)
+    tables = Tables(spark, feed.scratch(spark, "batch"))
+    ingest(raw, tables, feed.PARAMS, "all")
+    return batch_counters(tables, "all")

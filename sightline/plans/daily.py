@@ -35,9 +35,10 @@ def _rewrite(tables: Tables, table: str, rows: DataFrame, days: list[str]) -> No
     """Replace some days of a table with new content, by way of a staged copy."""
     if not days:
         return
-    kept = tables.staged(rows, f"aged-{table}")
-    left = {r.local_date for r in kept.select("local_date").distinct().collect()}
-    tables.replace_days(kept, table)
+    with tables.staging():
+        kept = tables.staged(rows, f"aged-{table}")
+        left = {r.local_date for r in kept.select("local_date").distinct().collect()}
+        tables.replace_days(kept, table)
     tables.clear_days(table, sorted(set(days) - left))
 
 

@@ -108,21 +108,27 @@ def plan_ingest(lines: DataFrame, stored: dict[str, DataFrame]) -> dict[str, Dat
     return out
 
 
-def ingest(raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0") -> DataFrame:
-    """Parse a raw batch once, append what is new, and return the counter increments.
+def ingest(raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0") -> list[str]:
+    """Parse a raw batch once, append what is new, and return the days that got new faces.
 
     Safe to repeat: a second run of the same batch finds its keys stored. Parents are written
-    before children and counters last.
+    before children and counters last. The counters of the batch are in `ops_daily_counters`.
+    The returned list has one short text per calendar day.
     """
-    lines = tables.staged(parse.alarm_lines(raw, params), "alarm-lines")
-    planned = plan_ingest(lines, tables.all())
-    new = {
-        k: tables.staged(planned[k], f"new-{k}") for k in ("notes", "face", "vehicle")
-    }
-    tables.append(new["notes"], "webhook_notifications")
-    tables.append(new["face"], "face_events")
-    tables.append(new["vehicle"], "vehicle_events")
-    tables.append(planned["rejects"], "rejected_alarms")
-    counts = tables.staged(counter_rows(lines, new["notes"], new, params.zone), "counts")
-    tables.replace_days(counts.withColumn("batch", F.lit(batch)), "ops_daily_counters")
-    return counts
+    with tables.staging():
+        lines = tables.staged(parse.alarm_lines(raw, params), "alarm-lines")
+        planned = plan_ingest(lines, tables.all())
+        new = {k: tables.staged(planned[k], f"new-{k}") for k in ("notes", "face", "vehicle")}
+        tables.append(new["notes"], "webhook_notifications")
+        tables.append(new["face"], "face_events")
+        tables.append(new["vehicle"], "vehicle_events")
+        tables.append(planned["rejects"], "rejected_alarms")
+        counts = counter_rows(lines, new["notes"], new, params.zone)
+        tables.replace_days(counts.withColumn("batch", F.lit(batch)), "ops_daily_counters")
+        return [r.local_date for r in new["face"].select("local_date").distinct().collect()]
+
+
+def batch_counters(tables: Tables, batch: str = "0") -> DataFrame:
+    """Counter increments of one ingested batch."""
+    stored = tables.read("ops_daily_counters").filter(F.col("batch") == batch)
+    return stored.select("local_date", "field", "value")

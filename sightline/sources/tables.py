@@ -7,7 +7,8 @@ safe to repeat: append, replace whole days, clear whole days.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._staged: list[str] = []
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -62,21 +64,35 @@ class Tables:
     def _writer(self, df: DataFrame, table: str):
         return self._laid_out(df, table).write.partitionBy(*PARTITIONS.get(table, []))
 
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def clear_days(self, table: str, days: Iterable[str]) -> None:
         """Drop whole days: a dynamic overwrite leaves days alone that have no new rows.
 
         One file-system call per calendar day, no Spark job; repeating it is harmless.
         """
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for day in days:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/local_date={day}")
-            folder.getFileSystem(conf).delete(folder, True)
+            self._delete(f"{self.path(table)}/local_date={day}")
+
+    @contextmanager
+    def staging(self) -> Iterator[None]:
+        """Drop the copies made by `staged` inside this block once it is left."""
+        outer, self._staged = self._staged, []
+        try:
+            yield
+        finally:
+            for path in self._staged:
+                self._delete(path)
+            self._staged = outer
 
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         """Write a frame to the shared folder and read it back: cuts the lineage in a way that
         survives lost executors, and lets a table be overwritten from its own content."""
         base = self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.root}/_staging"
         path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self._staged.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

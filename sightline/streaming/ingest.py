@@ -29,9 +29,9 @@ def ingest_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Counters are stored under the batch id: a repeated batch replaces its own rows.
-        ingest(batch, tables, params, batch=f"stream-{batch_id}")
-        if now_ms is not None:
-            touched = parse.faces_of(parse.alarm_lines(batch, params)).select("local_date")
+        days = ingest(batch, tables, params, batch=f"stream-{batch_id}")
+        if now_ms is not None and days:
+            touched = tables.spark.createDataFrame([(d,) for d in days], "local_date string")
             materialize(tables, params, touched, now_ms)
 
     return (

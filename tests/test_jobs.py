@@ -7,7 +7,7 @@ import pytest
 from sightline.operators import markers, quality, retention
 from sightline.params import DAY_MS, JobParams
 from sightline.plans import daily, materialize as mat
-from sightline.plans.ingest import ingest
+from sightline.plans.ingest import batch_counters, ingest
 from sightline.schemas import RAW_ALARMS
 from sightline.sources.raw import read_raw, stream_raw
 from sightline.sources.tables import Tables
@@ -148,19 +148,20 @@ def raw(spark, *rows):
 
 def test_ingest_counts_duplicates_and_canonical_parent(spark, tables):
     t = 1746970990000
-    first = ingest(raw(spark, (body("f1", "v1"), t), (body("f1", "v1"), t + 1), ("bad", t)), tables, PARAMS, "1")
-    got = {r.field: r.value for r in first.collect()}
+    bodies = raw(spark, (body("f1", "v1"), t), (body("f1", "v1"), t + 1), ("bad", t))
+    assert ingest(bodies, tables, PARAMS, "1") == ["2025-05-11"]
+    got = {r.field: r.value for r in batch_counters(tables, "1").collect()}
     assert got == {
         "ingested_webhooks": 1, "rejected_json": 1, "events_attempted": 2, "events_inserted": 1,
         "duplicates": 1, "vehicles_attempted": 2, "vehicles_inserted": 1, "vehicle_duplicates": 1,
     }
     parent = tables.read("webhook_notifications").first().id
     # The same delivery again, and a new delivery that repeats one event.
-    again = ingest(
+    ingest(
         raw(spark, (body("f1", "v1"), t + 5), (body("f1", "f2", name="B"), t + 6), ("{}", t + 7)),
         tables, PARAMS, "2",
     )
-    got = {r.field: r.value for r in again.collect()}
+    got = {r.field: r.value for r in batch_counters(tables, "2").collect()}
     assert got["events_inserted"] == 1 and got["duplicates"] == 2 and got["ingested_webhooks"] == 2
     assert got["zero_face_webhooks"] == 1
     links = {r.event_id: r.notification_id for r in tables.read("face_events").collect()}
