@@ -119,8 +119,9 @@ def materialize(
     wanted = [r.local_date for r in dates.select("local_date").distinct().collect()]
     if not wanted:
         return {"checked": 0, "regenerated": 0}
+    listed = tables.spark.createDataFrame([(d,) for d in wanted], "local_date string")
     checked = freshness(
-        dates,
+        listed,
         tables.only_days("face_events", wanted),
         tables.only_days("materialization_state", wanted),
     ).collect()
