@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, url_filters
+from . import bpe, exact_dedup, lang_id, url_filters, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -65,3 +65,28 @@ URL_RULES = [
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op1_lang_id")
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_warc",
+    """
+    WITH t AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    m AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+                 max(page_id) OVER (PARTITION BY body) AS best FROM t),
+    n AS (SELECT *, payload_bytes >= 1000 AND best <> page_id AS again FROM m)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN again THEN best END AS refers_to FROM n""",
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
