@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lang_id, url_filters, warc
+from . import bpe, exact_dedup, lang_id, near_dedup, url_filters, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -90,3 +90,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.label_near_duplicates(table(spark, sf_dir, "documents"))
