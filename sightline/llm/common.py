@@ -17,6 +17,10 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder. Python workers get this package's place on their path; on a cluster ship it with --py-files."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -78,9 +78,14 @@ def judge(text: str | None, compressors: dict[str, zstandard.ZstdCompressor], na
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """labelled (doc_id, text, lang) → a dictionary for each language, from the documents with the smallest hashes."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    names = [r.lang for r in names.collect()]
-    keyed = known.where(F.col("lang").isin(names)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    keyed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    # about three times the documents needed pass by their hash, so few rows are ranked however many there are
+    few = F.lit(False)
+    for row in names:
+        share = min(1.0, 3 * SAMPLE_DOCUMENTS / row["count"])
+        few = few | ((F.col("lang") == row.lang) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
+    keyed = keyed.where(few)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = keyed.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCUMENTS).select("lang", "doc_id", "h")
     # at most SAMPLE_DOCUMENTS * MOST_LANGUAGES rows
