@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, lang_id, near_dedup, toxicity, url_filters, warc
+from . import bpe, decontamination, exact_dedup, lang_id, lm_scoring, near_dedup, toxicity, url_filters, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -105,3 +105,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
