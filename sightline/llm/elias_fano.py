@@ -96,6 +96,7 @@ def build_trie(contexts: np.ndarray, successors: np.ndarray, values: np.ndarray,
     least, most = (values.min(), values.max()) if len(values) else (0.0, 0.0)
     book = np.linspace(least, most, 256)
     codes = np.rint((values - least) / ((most - least) or 1.0) * 255).astype(np.uint8)
+    levels = [heads, np.append(first, len(contexts)), place * np.uint64(span) + successors.astype(np.uint64)]
     parts = [struct.pack("<qq", span, len(codes)), book.astype(np.float64).tobytes()]
     return b"".join([*parts, *(EliasFano.packed(x) for x in levels), codes.tobytes()])
 
