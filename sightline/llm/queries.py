@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, lang_id, lm_scoring, near_dedup, toxicity, url_filters, warc
+from . import (
+    bpe,
+    decontamination,
+    exact_dedup,
+    lang_id,
+    lm_scoring,
+    near_dedup,
+    substring_dedup,
+    toxicity,
+    url_filters,
+    warc,
+)
 from .common import table
 
 QUERIES: dict = {}
@@ -110,3 +121,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_lm_scoring")
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
