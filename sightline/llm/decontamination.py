@@ -22,6 +22,7 @@ the filter keeps them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,29 +76,30 @@ class Index:
                 self.owner.append(place)
         self.ids = [i for i, _ in items]
         self.words = np.array(sorted(postings), np.uint64)
-        self.lists = [np.array([s for s, _ in postings[w]]) for w in self.words.tolist()]
-        self.weights = [np.array([x for _, x in postings[w]]) for w in self.words.tolist()]
+        self.lists = [[s for s, _ in postings[w]] for w in self.words.tolist()]
+        self.weights = [[x for _, x in postings[w]] for w in self.words.tolist()]
         self.blocks = -(-len(self.owner) // LIST_BLOCK)
-        held, most, self.start = [], [], [0]
+        #: of each word, in each block that it reaches: its largest weight
+        self.bounds: list[dict[int, float]] = []
         for segments, weights in zip(self.lists, self.weights):
-            block, first = np.unique(segments // LIST_BLOCK, return_index=True)
-            held.append(block)
-            most.append(np.maximum.reduceat(weights, first))
-            self.start.append(self.start[-1] + len(block))
-        self.start = np.array(self.start)
-        self.block = np.concatenate(held) if held else np.empty(0, np.int64)
-        self.most = np.concatenate(most) if most else np.empty(0)
+            most: dict[int, float] = {}
+            for segment, weight in zip(segments, weights):
+                most[segment // LIST_BLOCK] = max(weight, most.get(segment // LIST_BLOCK, 0.0))
+            self.bounds.append(most)
+        # the same as arrays, one word after the other
+        self.start = np.cumsum([0, *map(len, self.bounds)])
+        self.block = np.array([b for most in self.bounds for b in most], np.int64)
+        self.most = np.array([x for most in self.bounds for x in most.values()], float)
 
     def wand(self, terms: list[int], block: int, threshold: float) -> Iterator[tuple[int, float]]:
         """(segment, score) of the segments of one block whose weights over `terms` sum up to `threshold`."""
         first, end = block * LIST_BLOCK, (block + 1) * LIST_BLOCK
         cursor = []  # segment it stands at, place in its list, term, bound
         for t in terms:
-            segments = self.lists[t]
-            at = int(np.searchsorted(segments, first))
-            if at < len(segments) and segments[at] < end:
-                within = self.start[t] + np.searchsorted(self.block[self.start[t] : self.start[t + 1]], block)
-                cursor.append([int(segments[at]), at, t, float(self.most[within])])
+            bound = self.bounds[t].get(block)
+            if bound is not None:
+                at = bisect_left(self.lists[t], first)
+                cursor.append([self.lists[t][at], at, t, bound])
         while cursor:
             cursor.sort()
             bound, pivot = 0.0, -1
@@ -110,15 +112,15 @@ class Index:
                 return
             segment = cursor[pivot][0]
             if cursor[0][0] == segment:  # all lists up to the pivot, and those after it that stand here too
-                score = sum(float(self.weights[c[2]][c[1]]) for c in cursor if c[0] == segment)
+                score = sum(self.weights[c[2]][c[1]] for c in cursor if c[0] == segment)
                 if score >= threshold:
                     yield segment, score
                 segment += 1
             for c in cursor:
                 if c[0] < segment:
                     segments = self.lists[c[2]]
-                    c[1] += int(np.searchsorted(segments[c[1] :], segment))
-                    c[0] = int(segments[c[1]]) if c[1] < len(segments) and segments[c[1]] < end else -1
+                    c[1] = bisect_left(segments, segment, c[1])
+                    c[0] = segments[c[1]] if c[1] < len(segments) and segments[c[1]] < end else -1
             cursor = [c for c in cursor if c[0] >= 0]
 
     def retrieved(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
