@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = some.limit(SAMPLE_DOCUMENTS)
     # at most SAMPLE_DOCUMENTS rows are broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = sample.select("grade", feature_column(F.col("text")).alias("words")).limit(SAMPLE_DOCUMENTS).persist()
+    sample = sample.select("grade", feature_column(F.col("text")).alias("words")).persist()
     kinds = {r.grade: r["count"] for r in sample.groupBy("grade").count().collect()}
     n, bad = sum(kinds.values()), sum(v for k, v in kinds.items() if k)
     if not n:
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     names = [r.word for r in kept.orderBy(F.desc("z"), "word").limit(MOST_WORDS).collect()]
     number = {w: i for i, w in enumerate(names)}
     known = F.array(*[F.lit(w) for w in names]) if names else F.array().cast("array<string>")
-    rows = sample.select("grade", F.array_intersect("words", known).alias("words")).collect()
+    rows = sample.select("grade", F.array_intersect("words", known).alias("words")).limit(2 * SAMPLE_DOCUMENTS).collect()
     sample.unpersist()
     rows.sort(key=lambda r: (r.grade, r.words))
     grades = np.array([r.grade for r in rows])
