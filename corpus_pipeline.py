@@ -2,25 +2,52 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the
 shared folder and reads it again as the next stage's documents. All stages but the last return the
-columns of documents. A row that any stage drops is gone for those after it.
+columns of documents. A row that any stage drops is gone for those after it. Nulls, repeated rows,
+empty tables and further columns are treated as each operator says; further columns are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import exact_dedup
+from sightline.llm import bpe, decontamination, exact_dedup, lang_id, near_dedup
 from sightline.llm.common import staged, table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear."""
+    return lang_id.keep_identified(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark table."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with token ids and their number."""
+    return bpe.with_tokens(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", without_benchmark),
+    ("tokens", tokens),
+]
 
-#: The classifier and the alignments have no SQL form; tests hold the stages against plain versions.
+#: The classifier, the alignments and the search have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
