@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_IMAGE_CHARS = 512_000
+# White space and line ends that are trimmed.
+WHITE_SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _col(c) -> Column:
@@ -16,6 +18,11 @@ def blank_to_null(c) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
+def trimmed(c) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_col(c), rf"\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z", "")
+
+
 def person_key(person_id, person_name) -> Column:
     """P10: `id:<id>`, else `name:<lower-cased name with runs of blanks as _>`."""
     slug = F.regexp_replace(F.lower(_col(person_name)), r"(?U)\s+", "_")
@@ -38,7 +45,7 @@ def bare_plate(key) -> Column:
 def plate_display(plate_text, key) -> Column:
     """Trimmed text, else the bare key, else `unknown`."""
     return F.coalesce(
-        blank_to_null(F.trim(_col(plate_text))), blank_to_null(bare_plate(key)), F.lit("unknown")
+        blank_to_null(trimmed(plate_text)), blank_to_null(bare_plate(key)), F.lit("unknown")
     )
 
 

@@ -53,8 +53,12 @@ def cron_error(code: str, operation: str, at_ms: int) -> list[tuple]:
 
 
 def latest_markers(markers: DataFrame) -> DataFrame:
-    """Newest value per key; a null value is a deletion."""
-    newest = markers.groupBy("key").agg(F.max_by("value", "at_ms").alias("value"))
+    """Newest value per key; a null value is a deletion.
+
+    Of values with one time the greatest text counts, and any text before a deletion.
+    """
+    newest = markers.groupBy("key").agg(F.max(F.struct("at_ms", "value")).alias("newest"))
+    newest = newest.select("key", "newest.value")
     return newest.filter("value IS NOT NULL")
 
 

@@ -245,7 +245,7 @@ def alarm_lines(raw: DataFrame, params: JobParams) -> DataFrame:
     )
     typed = named.withColumn("kind", F.when(usable & wanted, found))
     is_face, is_vehicle = F.col("kind") == "face", F.col("kind") == "vehicle"
-    plate_text = F.coalesce(F.trim("label"), F.lit(""))
+    plate_text = F.coalesce(texts.trimmed("label"), F.lit(""))
     is_head = F.coalesce(F.col("pos"), F.lit(0)) == 0
     return typed.select(
         "reason",

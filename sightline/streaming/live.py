@@ -16,10 +16,9 @@ from ..params import GapRules
 
 def entity_gap(key: str, rules: GapRules) -> Column:
     """Gap of an entity as interval text for `session_window`."""
-    gap = F.lit(_milliseconds(rules.default_ms))
-    for name, minutes in rules.by_entity.items():
-        gap = F.when(F.col(key) == name, _milliseconds(minutes * 60_000)).otherwise(gap)
-    return gap
+    pairs = [(name, _milliseconds(minutes * 60_000)) for name, minutes in rules.by_entity.items()]
+    gaps = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+    return F.coalesce(F.try_element_at(gaps, F.col(key)), F.lit(_milliseconds(rules.default_ms)))
 
 
 def _milliseconds(ms: float) -> str:

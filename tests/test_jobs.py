@@ -132,6 +132,9 @@ def test_markers_newest_wins_and_deletes(spark):
     assert row.last_cron_error is None and row.last_d1_error.code == "D1_ERROR"
     first = spark.createDataFrame(log[:1], "key string, value string, at_ms long")
     assert markers.read_markers(first, 9).first().last_cron_error.code == "X" * 64
+    for rows in ([("k", None, 5), ("k", "b", 5), ("k", "a", 5)], [("k", "b", 5), ("k", "a", 5), ("k", None, 5)]):
+        tied = spark.createDataFrame(rows, "key string, value string, at_ms long").repartition(2)
+        assert [r.value for r in markers.latest_markers(tied).collect()] == ["b"]
 
 
 def body(*ids, name="A", ts=1746970986798):

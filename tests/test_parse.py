@@ -53,7 +53,7 @@ def test_first_condition_counts_even_without_value(spark):
 
 
 def test_plates(spark):
-    plate = trigger("license_plate_known", value=" ab-12 ", group={"name": "Owner", "id": 3}, image="QUJD")
+    plate = trigger("license_plate_known", value="\t ab-12\u00a0\n", group={"name": "Owner", "id": 3}, image="QUJD")
     test_fire = trigger("license_plate_unknown", "testEventId")
     assert run(spark, JobParams(), payload(plate))[1] == []
     _, vehicles, _, _ = run(spark, BOTH, payload(plate, test_fire))

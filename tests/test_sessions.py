@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from sightline.operators import profiles, reports, sessions
 from sightline.params import GapRules
+from sightline.streaming.live import entity_gap
 
 from .builders import face, faces, vehicle, vehicles
 
@@ -143,3 +144,10 @@ def test_many_overrides_are_joined_as_a_table(spark):
     rows = [face("a", T0), face("b", T0 + 10 * MIN), face("c", T0, "id:7"), face("d", T0 + 10 * MIN, "id:7")]
     got = cut(spark, rows, GapRules(20, many))
     assert [(s.person_key, s.sighting_count) for s in got] == [("id:7", 1), ("id:a", 2), ("id:7", 1)]
+
+
+def test_many_overrides_of_live_sessions(spark):
+    many = {f"id:{i}": 1.0 for i in range(3000)}
+    rows = spark.createDataFrame([("id:2999",), ("id:x",)], "person_key string")
+    gaps = rows.select(entity_gap("person_key", GapRules(20, many)).alias("gap")).collect()
+    assert [r.gap for r in gaps] == ["60000 milliseconds", "1200000 milliseconds"]

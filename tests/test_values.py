@@ -73,6 +73,7 @@ def test_keys_and_images(spark):
     assert value(spark, texts.plate_key(F.lit("ab-12 x"))) == "plate:AB12X"
     assert value(spark, texts.plate_key(F.lit("--"))) == "plate:unknown"
     assert value(spark, texts.plate_display(F.lit(" "), F.lit("plate:Q1"))) == "Q1"
+    assert value(spark, texts.plate_display(F.lit("\t\u00a0AB 1\n\ufeff"), F.lit("plate:AB1"))) == "AB 1"
     jpeg = {
         "QUJD": "QUJD",
         "data:image/JPEG;base64,QUJD": "QUJD",
