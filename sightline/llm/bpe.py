@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.json"
 LONG_WORD, NO_RANK = 96, 1 << 60
 #: Entries of a table of encoded pieces; then it becomes the older one of two, and what is used moves on.
-TABLE_ENTRIES = 250_000
+TABLE_ENTRIES = 120_000
 _SPACE_BEFORE_SPACE = regex.compile(r" (?=\s|$)")
 _CUT = regex.compile(r"(?<=.) (?=\S)", regex.DOTALL)
 
