@@ -533,7 +533,7 @@ FROM ({_kind_counts("vehicle")})""",
 )
 def _(spark, sf):
     found, planned = _planned(spark, sf)
-    rows = ingest.counter_rows(found, planned["notes"], planned, feed.PARAMS.zone)
+    rows = ingest.counter_rows(found, ingest.added_rows(planned, feed.PARAMS.zone))
     wide = counters.daily_counters(rows)
     fields = {
         "face": ("events_attempted", "events_inserted", "duplicates"),
@@ -586,7 +586,7 @@ def _empty(spark):
 def _(spark, sf):
     found = staged_lines(spark, sf)
     planned = ingest.plan_ingest(found, _empty(spark))
-    rows = ingest.counter_rows(found, planned["notes"], planned, feed.PARAMS.zone)
+    rows = ingest.counter_rows(found, ingest.added_rows(planned, feed.PARAMS.zone))
     return counters.daily_counters(rows)
 
 

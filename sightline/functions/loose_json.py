@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Numbers with more digits may lose some in a double, as they do in the source system.
+# Whole numbers with more digits may lose some in a double, as they do in the source system.
 _EXACT_CHARS = 15
+# Exponents outside this range are written as such.
+_LEAST_PLAIN, _MOST_PLAIN = -6, 20
+_DOUBLE_TEXT = r"\A(-?)(\d+)\.(\d+)(?:E(-?\d+))?\z"
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -95,11 +98,39 @@ def number(pair: Column) -> Column:
 
 
 def number_text(pair: Column) -> Column:
-    """Plain decimal text of a JSON number, without exponent or trailing zeros."""
-    short = (pair["kind"] != "DOUBLE") & (F.length(pair["text"]) <= _EXACT_CHARS)
-    wide = number(pair).cast("string").try_cast("decimal(38,10)").cast("string")
-    plain = F.regexp_replace(F.regexp_replace(wide, r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
-    return F.when(short, pair["text"]).otherwise(F.coalesce(plain, pair["text"]))
+    """Text of a JSON number: all digits of the double, an exponent only for very small or large ones."""
+    short = (pair["kind"] == "BIGINT") & (F.length(pair["text"]) <= _EXACT_CHARS)
+    return F.when(short, pair["text"]).otherwise(double_text(number(pair)))
+
+
+def double_text(value: Column) -> Column:
+    """A double as the source system writes it; Spark's own text is taken apart and put together anew."""
+    text = F.when(value == 0, "0.0").otherwise(value.cast("string"))
+    part = lambda i: F.regexp_extract(text, _DOUBLE_TEXT, i)
+    sign, whole = part(1), part(2)
+    fraction = F.regexp_replace(part(3), r"\A0\z", "")
+    point = F.when(fraction != "", ".").otherwise("")
+    exponent = F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int"), F.lit(0))
+    digits = F.concat(whole, fraction)
+    plus = F.when(exponent > 0, "e+").otherwise("e")
+    return (
+        F.when(~text.rlike(_DOUBLE_TEXT), text)
+        .when(exponent == 0, F.concat(sign, whole, point, fraction))
+        .when(
+            ~exponent.between(_LEAST_PLAIN, _MOST_PLAIN),
+            F.concat(sign, whole, point, fraction, plus, exponent.cast("string")),
+        )
+        .when(exponent < 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
+        .when(F.length(digits) <= exponent + 1, F.concat(sign, F.rpad(digits, exponent + 1, F.lit("0"))))
+        .otherwise(
+            F.concat(
+                sign,
+                F.substring(digits, F.lit(1), exponent + 1),
+                F.lit("."),
+                F.substring(digits, exponent + 2, F.length(digits)),
+            )
+        )
+    )
 
 
 def truthy_text(pair: Column) -> Column:

@@ -8,17 +8,11 @@ from pyspark.sql import functions as F
 
 from ..params import GapRules
 
-# Up to this many overrides are a literal map inside the expression; more become a table.
-LITERAL_LIMIT = 64
-
 
 def _minutes_for(df: DataFrame, column: str, overrides, out: str) -> DataFrame:
     if not overrides:
         return df.withColumn(out, F.lit(None).cast("double"))
     in_ms = {k: float(v) * 60_000.0 for k, v in overrides.items()}
-    if len(in_ms) <= LITERAL_LIMIT:
-        pairs = [F.lit(x) for item in in_ms.items() for x in item]
-        return df.withColumn(out, F.try_element_at(F.create_map(*pairs), F.col(column)))
     # An Arrow table keeps its exact size in the plan: Spark broadcasts it only below
     # spark.sql.autoBroadcastJoinThreshold and otherwise joins by shuffle.
     table = df.sparkSession.createDataFrame(

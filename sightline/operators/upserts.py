@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key set is broadcast only up to this many keys (about 64 bytes each).
-BROADCAST_KEYS = 500_000
-
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row per key. Every map task keeps one row per key before the shuffle
@@ -27,17 +24,12 @@ def insert_if_absent(batch: DataFrame, stored: DataFrame, key: str, order: list[
 
 
 def stored_matches(stored: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of a big stored table whose key occurs in a small batch.
+    """Rows of a big stored table whose key occurs in a batch.
 
-    Counts the batch's keys first (a job over one staged column). A small set is broadcast,
-    so the stored table is scanned once, two or three columns wide, and never shuffled;
-    a set beyond the bound is joined by shuffle.
+    The stored table is read one or two columns wide. Keys are texts of any length, so it is left
+    to AQE to broadcast them by their measured size in bytes.
     """
-    distinct = keys.select(key).distinct()
-    few = distinct.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return stored.select(*columns).join(
-        F.broadcast(distinct) if few else distinct, key, "left_semi"
-    )
+    return stored.select(*columns).join(keys.select(key).distinct(), key, "left_semi")
 
 
 def canonical_ids(first: DataFrame, matches: DataFrame) -> DataFrame:

@@ -16,11 +16,19 @@ SIGHTING_ORDER = ["received_at_ms", "notification_id", "pos"]
 _ORDER_COLUMNS = ("received_at_ms", "pos", "delivery_key")
 
 
-def counter_rows(lines: DataFrame, notes: DataFrame, new: dict[str, DataFrame], zone: str):
+def added_rows(new: dict[str, DataFrame], zone: str) -> DataFrame:
+    """Number of new notifications, faces and vehicles by (`kind`, `received_date`, `local_date`)."""
+    received = times.local_date("received_at_ms", zone).alias("received_date")
+    parts = [new[k].select(F.lit(k).alias("kind"), received, "local_date") for k in ("notes", "face", "vehicle")]
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return union.groupBy("kind", "received_date", "local_date").agg(F.count("*").alias("value"))
+
+
+def counter_rows(lines: DataFrame, added: DataFrame) -> DataFrame:
     """Increments by day of receipt, as (`local_date`, `field`, `value`).
 
-    `lines` are all parsed lines; `new` the inserted faces and vehicles with `received_at_ms`;
-    `notes` the inserted notifications. Duplicates are attempts less insertions.
+    `lines` are all parsed lines; `added` the numbers of inserted rows. Duplicates are attempts
+    less insertions.
     """
 
     def per_day(df, day, **fields):
@@ -57,15 +65,14 @@ def counter_rows(lines: DataFrame, notes: DataFrame, new: dict[str, DataFrame],
     parts = [
         attempts,
         per_day(silent, "received_date", zero_face_webhooks=one),
-        per_day(notes, "local_date", ingested_webhooks=one),
     ]
-    for kind, inserted, doubled in (
-        ("face", "events_inserted", "duplicates"),
-        ("vehicle", "vehicles_inserted", "vehicle_duplicates"),
+    value = F.col("value")
+    for kind, fields in (
+        ("notes", {"ingested_webhooks": value}),
+        ("face", {"events_inserted": value, "duplicates": -value}),
+        ("vehicle", {"vehicles_inserted": value, "vehicle_duplicates": -value}),
     ):
-        day = times.local_date("received_at_ms", zone)
-        counted = new[kind].withColumn("_day", day)
-        parts.append(per_day(counted, "_day", **{inserted: one, doubled: F.lit(-1)}))
+        parts.append(per_day(added.filter(F.col("kind") == kind), "received_date", **fields))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -108,24 +115,42 @@ def plan_ingest(lines: DataFrame, stored: dict[str, DataFrame]) -> dict[str, Dat
     return out
 
 
+def recorded(tables: Tables, lines: DataFrame, new: dict[str, DataFrame], batch: str, zone: str):
+    """What a batch adds, as written down before its first try stored anything.
+
+    A repeat, known by name and content, gets the numbers of the first try, however much of
+    it was stored. Other content under the same name is a batch of its own.
+    """
+    content = F.xxhash64("notification_id", "delivery_key", "pos", "received_at_ms", "reason", "event_id")
+    seen = lines.agg(F.count("*").alias("n"), F.sum(content.cast("decimal(38,0)")).alias("sum")).first()
+    same = (F.col("batch") == batch) & (F.col("fingerprint") == f"{seen.n}:{seen.sum}")
+    if tables.read("ingest_batches").filter(same).isEmpty():
+        added = added_rows(new, zone).withColumn("fingerprint", F.lit(f"{seen.n}:{seen.sum}"))
+        tables.replace_days(added.withColumn("batch", F.lit(batch)), "ingest_batches")
+    return tables.read("ingest_batches").filter(same)
+
+
 def ingest(raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0") -> list[str]:
     """Parse a raw batch once, append what is new, and return the days that got new faces.
 
-    Safe to repeat: a second run of the same batch finds its keys stored. Parents are written
-    before children and counters last. The counters of the batch are in `ops_daily_counters`.
+    Safe to repeat: a second run of the same batch stores what the first one did not come to,
+    writes its rejects and counters again and returns the same days. Parents are written before
+    children and counters last. The counters of the batch are in `ops_daily_counters`.
     The returned list has one short text per calendar day.
     """
     with tables.staging():
         lines = tables.staged(parse.alarm_lines(raw, params), "alarm-lines")
         planned = plan_ingest(lines, tables.all())
         new = {k: tables.staged(planned[k], f"new-{k}") for k in ("notes", "face", "vehicle")}
+        added = recorded(tables, lines, new, batch, params.zone)
         tables.append(new["notes"], "webhook_notifications")
         tables.append(new["face"], "face_events")
         tables.append(new["vehicle"], "vehicle_events")
-        tables.append(planned["rejects"], "rejected_alarms")
-        counts = counter_rows(lines, new["notes"], new, params.zone)
+        tables.replace_days(planned["rejects"].withColumn("batch", F.lit(batch)), "rejected_alarms")
+        counts = counter_rows(lines, added)
         tables.replace_days(counts.withColumn("batch", F.lit(batch)), "ops_daily_counters")
-        return [r.local_date for r in new["face"].select("local_date").distinct().collect()]
+        days = added.filter("kind = 'face'").select("local_date").distinct()
+        return [r.local_date for r in days.collect()]
 
 
 def batch_counters(tables: Tables, batch: str = "0") -> DataFrame:

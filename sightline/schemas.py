@@ -67,7 +67,14 @@ COUNTERS = _schema("local_date string, field string, value long, batch string")
 MARKERS = _schema("key string, value? string, at_ms long")
 
 REJECTS = _schema(
-    "raw_body? string, received_at_ms long, source_ip string, reason string, local_date string"
+    "raw_body? string, received_at_ms long, source_ip string, reason string, local_date string,"
+    "batch string"
+)
+
+# What each batch added, by kind of row, day of receipt and day of the row.
+BATCHES = _schema(
+    "fingerprint string, kind string, received_date string, local_date string, value long,"
+    "batch string"
 )
 
 TABLES = {
@@ -80,11 +87,14 @@ TABLES = {
     "ops_daily_counters": COUNTERS,
     "ops_markers": MARKERS,
     "rejected_alarms": REJECTS,
+    "ingest_batches": BATCHES,
 }
 
 # Every table but the markers is laid out by day, so day and month filters prune files.
 PARTITIONS = {name: ["local_date"] for name in TABLES if name != "ops_markers"}
-PARTITIONS["ops_daily_counters"] = ["local_date", "batch"]
+# What a repeated batch writes again is found by its name.
+PARTITIONS["ops_daily_counters"] = PARTITIONS["rejected_alarms"] = ["local_date", "batch"]
+PARTITIONS["ingest_batches"] = ["batch"]
 
 # Column that rows of one day are sorted by, so that row-group statistics prune key lookups.
 CLUSTERING = {

@@ -172,6 +172,41 @@ def test_ingest_counts_duplicates_and_canonical_parent(spark, tables):
     assert tables.read("rejected_alarms").count() == 1
 
 
+def test_a_repeated_batch_changes_nothing(spark, tables, monkeypatch):
+    t = 1746970990000
+    bodies = raw(spark, (body("f1", "v1"), t), (body("f2", name="B"), t + 1), ("bad", t))
+
+    def stored():
+        names = ("webhook_notifications", "face_events", "vehicle_events", "rejected_alarms", "ops_daily_counters")
+        return {n: sorted(map(str, tables.read(n).collect())) for n in names}
+
+    # The first try ends after the faces.
+    append = tables.append
+
+    def failing(df, table):
+        if table == "vehicle_events":
+            raise OSError("lost")
+        append(df, table)
+
+    monkeypatch.setattr(tables, "append", failing)
+    with pytest.raises(OSError):
+        ingest(bodies, tables, PARAMS, "1")
+    monkeypatch.undo()
+    assert tables.read("face_events").count() == 2 and tables.read("vehicle_events").count() == 0
+    assert ingest(bodies, tables, PARAMS, "1") == ["2025-05-11"]
+    first = stored()
+    got = {r.field: r.value for r in batch_counters(tables, "1").collect()}
+    assert got == {
+        "ingested_webhooks": 2, "rejected_json": 1, "events_attempted": 2, "events_inserted": 2,
+        "vehicles_attempted": 1, "vehicles_inserted": 1,
+    }
+    assert ingest(bodies, tables, PARAMS, "1") == ["2025-05-11"]
+    assert stored() == first
+    # Other content under the same name is stored all the same.
+    assert ingest(raw(spark, (body("f3", name="C"), t + 9)), tables, PARAMS, "1") == ["2025-05-11"]
+    assert tables.read("face_events").count() == 3
+
+
 def test_stream_equals_batch_and_renews_days(spark, tables, tmp_path):
     t = 1746970990000
     land = str(tmp_path / "land")

@@ -22,6 +22,18 @@ def test_ceil_to_quarter_hours(spark, minutes, rounded):
     assert value(spark, times.ceil_quarter_minutes(F.lit(minutes * 60_000))) == rounded
 
 
+@pytest.mark.parametrize(
+    "number, text",
+    [
+        (1e-12, "1e-12"), (2.5e-7, "2.5e-7"), (1e-6, "0.000001"), (0.00012, "0.00012"), (-0.5, "-0.5"),
+        (1.5, "1.5"), (-0.0, "0"), (1746970986798.25, "1746970986798.25"), (12345678.0, "12345678"),
+        (1e20, "100000000000000000000"), (1e21, "1e+21"), (-1.5e300, "-1.5e+300"),
+    ],
+)
+def test_text_of_numbers(spark, number, text):
+    assert value(spark, lj.double_text(F.lit(number))) == text
+
+
 def test_quarter_hours(spark):
     assert value(spark, times.quarter_hours(F.lit(225))) == 3.75
 
