@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, with DuckDB SQL where it can say the same."""
+"""The operators as registered queries over whole tables, with DuckDB SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bpe,
+    conversation_repair,
     decontamination,
     exact_dedup,
     lang_id,
     lm_scoring,
     near_dedup,
+    oracles,
     substring_dedup,
     toxicity,
     url_filters,
@@ -126,3 +128,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair", oracles.CONVERSATIONS)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
