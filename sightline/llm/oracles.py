@@ -78,3 +78,32 @@ SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        coalesce(illegal, 0)::BIGINT AS illegal, e.best.cost::BIGINT AS cost, e.best.audit AS audit, sha256(e.best.body) AS repaired_sha256
 FROM ends e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+SPELLING = rf"""
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, count(*) AS m,
+         translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM raw WHERE length(run) >= 6 GROUP BY ALL),
+sums AS (SELECT *, {_crc32(_latin_bytes("id || ':' || run"))} AS h FROM runs),
+written AS (
+  SELECT m, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                 ELSE run END AS word FROM sums),
+v AS (SELECT word, sum(m)::BIGINT AS n FROM written WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM places),
+shorter AS (SELECT DISTINCT c.word, c.n, v.word AS near, v.n AS near_n FROM cut c JOIN v ON c.rest = v.word),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION ALL SELECT word, near, near_n FROM shorter
+  UNION ALL SELECT near, word, n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, min({{'m': -near_n, 'near': near}}) AS b FROM near GROUP BY word),
+linked AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN -b.m >= 5 * n THEN b.near END AS form, CASE WHEN -b.m >= 5 * n THEN -b.m END::BIGINT AS form_n
+  FROM v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at, form AS next FROM linked
+  UNION ALL SELECT w.word, l.word, l.form FROM walk w JOIN linked l ON l.word = w.next)
+SELECT l.word, n, n_near, l.form, form_n, w.at AS root FROM linked l JOIN walk w ON w.word = l.word AND w.next IS NULL
+"""

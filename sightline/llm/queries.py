@@ -13,6 +13,8 @@ from . import (
     lm_scoring,
     near_dedup,
     oracles,
+    pii,
+    spelling_variants,
     substring_dedup,
     toxicity,
     url_filters,
@@ -133,3 +135,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_repair", oracles.CONVERSATIONS)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_spelling_variants", oracles.SPELLING)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_pii")
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(table(spark, sf_dir, "documents"))
