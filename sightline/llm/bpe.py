@@ -1,12 +1,15 @@
 """Byte-pair encoding and decoding with a public vocabulary (operator 6).
 
-A word is held as a contiguous array of part boundaries beside the ranks of its adjacent pairs. The
-lowest rank is found by a scan, its boundary is deleted, and the two neighbouring ranks are looked up
-again. Words longer than LONG_WORD bytes take the same merges from a heap, since scans would be
-quadratic. Encoded words are kept in a bounded table per task.
+A word is a contiguous array of parts beside the ranks of its adjacent pairs. The lowest rank is found
+by a scan, its boundary is deleted, and the two neighbouring ranks are looked up again. Words of one
+length are rows of two matrices and take these steps together, so each step makes the matrices one
+column narrower; rows without a rank left are done. Words longer than LONG_WORD bytes take the same
+merges from a heap, since scans would be quadratic.
 
-Texts are cut at spaces before a visible character first; the pattern of the tokenizer never joins
-across such a place, so each piece is encoded on its own and repeated pieces are free.
+Texts are cut at spaces before a visible character; the pattern of the tokenizer never joins across such
+a place. Of a chunk of texts each different piece is looked at once: one of letters is a word, others
+are cut by the pattern, and the words that a bounded table does not hold are encoded together. The ids
+of texts are then put together from the pieces', and decoded from the ids of each.
 
 Defined results: null text counts as empty and has no ids. The text of a special token becomes its id.
 Rows with null or repeated doc_id are each encoded; other columns are not read by the query, and the
@@ -18,9 +21,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -28,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
-LONG_WORD, NO_RANK = 96, 1 << 60
-#: Entries of a table of encoded pieces; then it becomes the older one of two, and what is used moves on.
-TABLE_ENTRIES = 120_000
+LONG_WORD, NO_RANK = 96, 1 << 30
+#: Words in the table; then it becomes the older one of two, and what is used moves on.
+TABLE_ENTRIES = 200_000
+#: Characters of texts that are encoded together, and cells of a matrix of words.
+CHUNK_CHARS, CELLS = 2_000_000, 400_000
 _SPACE_BEFORE_SPACE = regex.compile(r" (?=\s|$)")
 _CUT = regex.compile(r"(?<=.) (?=\S)", regex.DOTALL)
 
@@ -42,6 +48,51 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PairRanks:
+    """(left id, right id) → rank, looked up for arrays: open addressing, a fifth full."""
+
+    BITS = 18
+
+    def __init__(self, pairs: dict[int, int]):
+        bits = max(self.BITS, (5 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int32)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        for key, rank, slot in zip(keys.tolist(), pairs.values(), self._slots(keys).tolist(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & self.mask
+            self.keys[slot], self.ranks[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = ((left.astype(np.int64) << 32) + right).ravel()
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        going = np.flatnonzero((held != keys) & (held >= 0))
+        while len(going):
+            slots[going] = slots[going] + 1 & self.mask
+            held = self.keys[slots[going]]
+            going = going[(held != keys[going]) & (held >= 0)]
+        # A free slot has no rank.
+        return self.ranks[slots].reshape(left.shape)
+
+
+class Table:
+    """Pieces with their ids as text and the bytes that these decode to."""
+
+    def __init__(self):
+        self.ids: dict[str, str] = {}
+        self.back: dict[str, bytes] = {}
+
+    def put(self, key: str, ids: str, back: bytes) -> None:
+        self.ids[key], self.back[key] = ids, back
+
+    def drop(self, key: str) -> None:
+        del self.ids[key], self.back[key]
+
+
 class Bpe:
     """A vocabulary file of the tokenizers library, with encode and decode of whole texts."""
 
@@ -66,26 +117,60 @@ class Bpe:
         self.tokens |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.table: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The ids of one word of the pattern."""
-        return self._by_heap(word) if len(word) > LONG_WORD else self._by_scan(word)
-
-    def _by_scan(self, word: bytes) -> list[int]:
-        single, get, made = self.single, self.pairs.get, self.made
-        parts = [single[b] for b in word]
-        ranks = [get((a << 32) + b, NO_RANK) for a, b in zip(parts, parts[1:])]
-        while ranks and (lowest := min(ranks)) != NO_RANK:
-            at = ranks.index(lowest)
-            both = parts[at] = made[lowest]
-            del parts[at + 1], ranks[at]
-            if at < len(ranks):
-                ranks[at] = get((both << 32) + parts[at + 1], NO_RANK)
-            if at:
-                ranks[at - 1] = get((parts[at - 1] << 32) + both, NO_RANK)
-        return parts
+        self.single_ids, self.made_ids = np.array(self.single, np.int32), np.array(self.made, np.int32)
+        self.ranks = PairRanks(self.pairs)
+        #: id → its text, and back to the bytes of the token
+        self.name = [str(i) for i in range(max(self.tokens) + 1)]
+        self.named = {str(i): token for i, token in self.tokens.items()}
+        #: pieces after a space, known by what follows it, and other words: ids as text, and their bytes
+        self.table, self.older = Table(), Table()
+        self.others = Table()
+        self.several: list[str] = []
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words of the pattern."""
+        out: list = [None] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for length in np.unique(lengths).tolist():
+            places = np.flatnonzero(lengths == length)
+            if length > LONG_WORD:
+                for i in places.tolist():
+                    out[i] = self._by_heap(words[i])
+                continue
+            step = max(1, CELLS // length)
+            for begin in range(0, len(places), step):
+                some = places[begin : begin + step].tolist()
+                letters = np.frombuffer(b"".join([words[i] for i in some]), np.uint8).reshape(len(some), length)
+                for rows, parts in self._by_scan(self.single_ids[letters]):
+                    for row, ids in zip(rows.tolist(), parts.tolist(), strict=True):
+                        out[some[row]] = ids
+        return out
+
+    def _by_scan(self, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of bytes' ids → (numbers of the rows that are done, their parts), until all are."""
+        rows = np.arange(len(parts))
+        ranks = self.ranks.of(parts[:, :-1], parts[:, 1:])
+        while ranks.shape[1]:
+            at = ranks.argmin(axis=1)
+            lowest = ranks[np.arange(len(rows)), at]
+            going = lowest < NO_RANK
+            if not going.all():
+                yield rows[~going], parts[~going]
+                rows, parts, ranks, at, lowest = (x[going] for x in (rows, parts, ranks, at, lowest))
+                if not len(rows):
+                    return
+            every, width = np.arange(len(rows)), parts.shape[1]
+            parts[every, at] = self.made_ids[lowest]
+            # The boundary behind `at` goes: later parts and ranks move one place up.
+            places = np.arange(width - 1)
+            parts = np.take_along_axis(parts, places + (places > at[:, None]), axis=1)
+            places = np.arange(width - 2)
+            ranks = np.take_along_axis(ranks, places + (places >= at[:, None]), axis=1)
+            right = at < width - 2
+            ranks[every[right], at[right]] = self.ranks.of(parts[every[right], at[right]], parts[every[right], at[right] + 1])
+            left = at > 0
+            ranks[every[left], at[left] - 1] = self.ranks.of(parts[every[left], at[left] - 1], parts[every[left], at[left]])
+        yield rows, parts
 
     def _by_heap(self, word: bytes) -> list[int]:
         parts: list = [self.single[b] for b in word]
@@ -113,59 +198,85 @@ class Bpe:
             push(left)
         return [p for p in parts if p is not None]
 
-    def _piece(self, text: str) -> tuple[str, int, bytes, tuple[int, ...]]:
-        """(ids as text, their number, decoded bytes, ids) of a piece."""
-        ids: list[int] = []
-        if text.isalpha() or text[:1] == " " and text[1:].isalpha():  # the most frequent form, one word of the pattern
-            ids = self.encode_word(text.encode())
-        else:
-            for word in self.pattern.findall(text):
-                ids += self.encode_word(word.encode())
-        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids), tuple(ids)
-
-    def pieces(self, text: str) -> list[tuple]:
-        """The encoded pieces of a text without special tokens."""
-        if _SPACE_BEFORE_SPACE.search(text):
-            parts = _CUT.split(text)
-        else:
-            parts = text.split(" ")
-            if not parts[0] and len(parts) > 1:
-                parts = [" " + parts[1], *parts[2:]]
-        out = [self._known(parts[0], parts[0])] if parts[0] else []
-        get = self.table.get
-        for part in parts[1:]:
-            found = get(part)
-            if found is None:
-                found = self._known(part, " " + part)
-                get = self.table.get
-            out.append(found)
-        return out
-
-    def _known(self, key: str, text: str) -> tuple:
-        """An encoded piece from the tables; pieces after a space are kept without it, a text's first one with a mark."""
-        key = key if key != text else "\0" + key
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) >= TABLE_ENTRIES:
-                self.table, self.older = {}, self.table
-            found = self.table[key] = self.older.get(key) or self._piece(text)
-        return found
-
-    def encoded(self, text: str) -> list[tuple]:
-        """The encoded pieces of any text, special tokens as pieces of their own."""
-        if self.split_special is None or not any(s in text for s in self.special):
-            return self.pieces(text) if text else []
-        out = []
-        for part in self.split_special.split(text):
-            if part in self.special:
-                i = self.special[part]
-                out.append((str(i), 1, self.tokens[i], (i,)))
-            elif part:
-                out += self.pieces(part)
-        return out
+    def _learn(self, pieces: Iterable[str], table: Table, space: str) -> None:
+        """Put words of the pattern into a table; `space` stands before each."""
+        words = list(pieces)
+        name, named = self.name, self.tokens
+        for word, ids in zip(words, self.encode_words([(space + w).encode() for w in words]), strict=True):
+            table.put(word, ",".join([name[i] for i in ids]), b"".join([named[i] for i in ids]))
+
+    def _renewed(self, pieces: set[str]) -> list[str]:
+        """Make the table hold these pieces; returns those that are more than one word."""
+        missing = pieces.difference(self.table.ids)
+        for p in missing.intersection(self.older.ids):
+            self.table.put(p, self.older.ids[p], self.older.back[p])
+            missing.discard(p)
+        several = {p: self.pattern.findall(" " + p) for p in missing if not p.isalpha()}
+        spaced, others = missing.difference(several), set()
+        for words in several.values():
+            for w in words:
+                (spaced if w[0] == " " and w[1:].isalpha() else others).add(w)
+        spaced = {w[1:] if w[0] == " " else w for w in spaced}
+        self._learn(spaced.difference(self.table.ids), self.table, " ")
+        self._learn(others.difference(self.others.ids), self.others, "")
+        for p, words in several.items():
+            self.table.put(p, *self._joined(words))
+        return list(several)
+
+    def _joined(self, words: list[str]) -> tuple[str, bytes]:
+        places = [(self.table, w[1:]) if w[0] == " " and w[1:].isalpha() else (self.others, w) for w in words]
+        return ",".join([t.ids[w] for t, w in places]), b"".join([t.back[w] for t, w in places])
+
+    def _trim(self) -> None:
+        """After a chunk single words stay; a full table becomes the older one."""
+        for p in self.several:
+            self.table.drop(p)
+        self.several = []
+        if len(self.table.ids) > TABLE_ENTRIES:
+            self.table, self.older = Table(), self.table
+        if len(self.others.ids) > TABLE_ENTRIES:
+            self.others = Table()
+
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(ids with commas between them, decoded bytes) of texts without special tokens."""
+        self._trim()
+        cut = [_CUT.split(t) if _SPACE_BEFORE_SPACE.search(t) else t.split(" ") for t in texts]
+        # What comes first has no space before it.
+        firsts = [self.pattern.findall(parts.pop(0)) for parts in cut]
+        self.several = self._renewed(set().union(*cut, (w[1:] for words in firsts for w in words if w[0] == " " and w[1:].isalpha())))
+        words = {w for words in firsts for w in words if not (w[0] == " " and w[1:].isalpha())}
+        self._learn(words.difference(self.others.ids), self.others, "")
+        ids, back = self.table.ids.__getitem__, self.table.back.__getitem__
+        for first, parts in zip(firsts, cut, strict=True):
+            head = self._joined(first)
+            comma = "," if head[0] and parts else ""
+            yield head[0] + comma + ",".join(map(ids, parts)), head[1] + b"".join(map(back, parts))
+
+    def encoded(self, texts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(ids with commas between them, decoded bytes) of any texts, in chunks of bounded size."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append([p for p in self._split(text) if p])
+            size += len(text)
+            if size > CHUNK_CHARS:
+                yield from self._chunk(held)
+                held, size = [], 0
+        yield from self._chunk(held)
+
+    def _split(self, text: str) -> list[str]:
+        special = self.split_special is not None and any(s in text for s in self.special)
+        return self.split_special.split(text) if special else [text]
+
+    def _chunk(self, held: list[list[str]]) -> Iterator[tuple[str, bytes]]:
+        plain = self._encoded([p for parts in held for p in parts if p not in self.special])
+        for parts in held:
+            found = [(self.name[self.special[p]], p.encode()) if p in self.special else next(plain) for p in parts]
+            yield ",".join([ids for ids, _ in found]), b"".join([back for _, back in found])
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.encoded(text) for i in piece[3]]
+        ids = next(self.encoded([text]))[0]
+        return list(map(int, ids.split(","))) if ids else []
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         tokens = self.tokens
@@ -180,41 +291,50 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _mapped(kind: str, path: str, each: Callable, empty: object) -> Callable[[Column], Column]:
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = tokenizer(path)
-        for batch in batches:
-            values = [each(bpe, empty if x is None else x) for x in batch]
-            yield pd.DataFrame(values) if isinstance(values[0] if values else {}, dict) else pd.Series(values, dtype=object)
-
-    return run
+def _texts(batch: pd.Series) -> Iterator[str]:
+    return ("" if x is None else x for x in batch)
 
 
 def encode(text: Column, path: str | None = None) -> Column:
     """Ids of a text."""
-    return _mapped("array<int>", path or public_tokenizers.path(VOCABULARY), lambda b, t: b.encode(t), "")(text)
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found = tokenizer(path).encoded(_texts(batch))
+            yield pd.Series([np.array(ids.split(",") if ids else [], np.int32) for ids, _ in found], dtype=object)
+
+    return run(text)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
     """Text of ids."""
-    return _mapped("string", path or public_tokenizers.path(VOCABULARY), lambda b, i: b.decode(list(i)), [])(ids)
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([tokenizer(path).decode([] if x is None else list(x)) for x in batch], dtype=object)
+
+    return run(ids)
 
 
 def digests(text: Column, path: str | None = None) -> Column:
     """Struct of n_tokens, ids_sha256 and decoded_sha256, without sending ids out of the task."""
+    path = path or public_tokenizers.path(VOCABULARY)
 
-    def each(bpe: Bpe, content: str) -> dict:
-        parts = bpe.encoded(content)
-        decoded = b"".join([p[2] for p in parts]).decode(errors="replace").encode()
-        return {
-            "n_tokens": sum([p[1] for p in parts]),
-            "ids_sha256": hashlib.sha256(",".join([p[0] for p in parts if p[1]]).encode()).hexdigest(),
-            "decoded_sha256": hashlib.sha256(decoded).hexdigest(),
-        }
-
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _mapped(kind, path or public_tokenizers.path(VOCABULARY), each, "")(text)
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n, of_ids, of_text = [], [], []
+            for ids, back in tokenizer(path).encoded(_texts(batch)):
+                n.append(ids.count(",") + 1 if ids else 0)
+                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                of_text.append(hashlib.sha256(back.decode(errors="replace").encode()).hexdigest())
+            yield pd.DataFrame({"n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text})
+
+    return run(text)
 
 
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
