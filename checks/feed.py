@@ -213,5 +213,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="sightline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staging(spark: SparkSession, name: str):
+    """Write a frame and read it back, as the jobs do."""
+    from sightline.sources.tables import Tables
+
+    tables = Tables(spark, scratch(spark, name))
+    return lambda df: tables.staged(df, name)

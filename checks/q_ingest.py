@@ -492,14 +492,9 @@ def _(spark, sf):
     + "SELECT kind, event_id, CAST(min(received_at_ms) AS BIGINT) AS received_at_ms FROM named GROUP BY 1, 2",
 )
 def _(spark, sf):
-    found = good(spark, sf)
-    both = [
-        upserts.keep_first(
-            found.filter(F.col("kind") == kind), "event_id", ingest.SIGHTING_ORDER
-        ).select("kind", "event_id", "received_at_ms")
-        for kind in ("face", "vehicle")
-    ]
-    return both[0].unionByName(both[1])
+    found = good(spark, sf).select("kind", "event_id", *ingest.SIGHTING_ORDER)
+    first = upserts.keep_first(found, ["kind", "event_id"], ingest.SIGHTING_ORDER)
+    return first.select("kind", "event_id", "received_at_ms")
 
 
 def _kind_counts(kind, day_column="received_date"):
@@ -520,7 +515,7 @@ def _planned(spark, sf):
         "face_events": parse.faces_of(found).filter(early).select("event_id").distinct(),
         "vehicle_events": parse.vehicles_of(found).filter(early).select("event_id").distinct(),
     }
-    return found, ingest.plan_ingest(found, stored)
+    return found, ingest.plan_ingest(found, stored, feed.staging(spark, "chosen"))
 
 
 @query(
@@ -585,7 +580,7 @@ def _empty(spark):
 @query("A25_daily_counters", COUNTERS_WIDE_SQL)
 def _(spark, sf):
     found = staged_lines(spark, sf)
-    planned = ingest.plan_ingest(found, _empty(spark))
+    planned = ingest.plan_ingest(found, _empty(spark), feed.staging(spark, "chosen"))
     rows = ingest.counter_rows(found, ingest.added_rows(planned, feed.PARAMS.zone))
     return counters.daily_counters(rows)
 

@@ -22,6 +22,7 @@ from sightline.sources import raw as raw_source
 from sightline.sources.tables import Tables
 from sightline.streaming import ingest as stream_ingest
 from sightline.streaming import live
+from sightline.streaming.camera_sessions import camera_sessions
 
 from . import feed
 from .base import query
@@ -89,11 +90,15 @@ query("C1_today_snapshot_recent", WT + RECENT20)(_snapshot("recent_events"))
 # Profiles of all entities
 def _people_profiles(spark, sf):
     found, reported = feed.reports_and_sessions(spark, sf)
-    return profiles.person_profiles(feed.faces(spark, sf), found, reported, TODAY, Z)
+    return profiles.person_profiles(
+        feed.faces(spark, sf), found, reported, TODAY, Z, stage=feed.staging(spark, "recent")
+    )
 
 
 def _plate_profiles(spark, sf):
-    return profiles.vehicle_profiles(feed.vehicles(spark, sf), GAPS_240, TODAY, Z)
+    return profiles.vehicle_profiles(
+        feed.vehicles(spark, sf), GAPS_240, TODAY, Z, stage=feed.staging(spark, "recent")
+    )
 
 
 def _scalars(df):
@@ -665,6 +670,57 @@ def _(spark, sf):
     return _live(spark, sf, "t5", PER_PERSON, "0 seconds")
 
 
+def _closed_sql(rules, columns, delay_ms):
+    """W1's sessions over all days that no further sighting can join."""
+    entity = " ".join(f"WHEN '{k}' THEN {v * 60000}" for k, v in rules.by_entity.items())
+    camera = " ".join(f"WHEN '{k}' THEN {max(v * 60000, rules.default_ms)}" for k, v in rules.by_camera.items())
+    gap = f"coalesce(CASE person_key {entity} END, CASE last_camera_id {camera} END, {rules.default_ms})"
+    return (
+        with_(FACES, sql_sessions("live", "faces", "person_key", "", rules))
+        + f"""SELECT person_key, {columns} FROM live
+WHERE ended_at_ms + {gap} <= (SELECT max(seen_at_ms) FROM faces) - {delay_ms}"""
+    )
+
+
+LIVE_COLUMNS = (
+    "started_at_ms, first_event_id, first_camera_id, ended_at_ms, last_event_id, last_camera_id, sighting_count"
+)
+_DELIVERIES = 5
+
+
+def _delivered(spark, sf, name):
+    """Sightings in five files by time; every seventh one comes a file late."""
+    path = feed.scratch(spark, name)
+    kept = ["event_id", "seen_at_ms", "person_key", "camera_id"]
+    rows = feed.faces(spark, sf).select(*kept)
+    span = rows.agg(F.min("seen_at_ms").alias("a"), F.max("seen_at_ms").alias("b")).first()
+    part = F.least(F.lit(_DELIVERIES - 1), F.floor((F.col("seen_at_ms") - span.a) * _DELIVERIES / F.lit(span.b - span.a + 1)))
+    late = F.when(F.crc32("event_id") % 7 == 0, 1).otherwise(0)
+    # The newest sighting is on time, so that the last watermark is known.
+    late = F.when(F.col("seen_at_ms") == span.b, 0).otherwise(late)
+    dealt = rows.withColumn("part", F.least(F.lit(_DELIVERIES - 1), part + late)).coalesce(1)
+
+    def deliver(numbers):
+        for i in numbers:
+            dealt.filter(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+
+    deliver([0])
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return deliver, stream.withColumn("seen_ts", F.timestamp_millis("seen_at_ms"))
+
+
+@query("T5_live_camera_gaps", _closed_sql(GAPS_240, LIVE_COLUMNS, 8 * 86_400_000))
+def _(spark, sf):
+    deliver, stream = _delivered(spark, sf, "t5-camera")
+    out, state = feed.scratch(spark, "t5-camera"), feed.scratch(spark, "t5-camera")
+    found = camera_sessions(stream, "person_key", GAPS_240, "8 days")
+    for numbers in (range(1, 3), range(3, _DELIVERIES)):  # with a restart between them
+        deliver(numbers)
+        run = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 @query(
     "T6_late_data_renews_days",
     W.rstrip()

@@ -696,7 +696,8 @@ def _recent_sql(src, key, limit):
 
 @query("K4_recent_of_entity", WF + _recent_sql("faces", "person_key", 24))
 def _(spark, sf):
-    found = profiles.recent_sightings(feed.faces(spark, sf), "person_key")
+    stage = feed.staging(spark, "recent")
+    found = profiles.recent_sightings(feed.faces(spark, sf), "person_key", stage=stage)
     return found.select("person_key", "event_id", "rank")
 
 
@@ -748,7 +749,7 @@ def _(spark, sf):
   WHERE rank <= 24 AND image_base64 LIKE 'aW%') WHERE position <= 12""",
 )
 def _(spark, sf):
-    found = profiles.recent_thumbs(feed.faces(spark, sf), "person_key")
+    found = profiles.recent_thumbs(feed.faces(spark, sf), "person_key", feed.staging(spark, "recent"))
     return found.select("person_key", "event_id", "image", "position")
 
 

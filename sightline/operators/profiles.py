@@ -7,11 +7,14 @@ feature: 10 cameras, 24 recent sightings, one heat entry per day of a year.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts, times
 from ..params import GapRules
+from . import late
 from .directory import FACE_COLUMNS, VEHICLE_COLUMNS, person_identities, vehicle_identities
 from .sessions import vehicle_sessions
 
@@ -42,16 +45,41 @@ def camera_share(cameras: DataFrame, key: str) -> DataFrame:
     return cameras.withColumn("share", F.floor(share + F.lit(0.5)).cast("long"))
 
 
-def recent_sightings(sightings: DataFrame, key: str, limit: int = RECENT_SHOWN) -> DataFrame:
-    """K4: the newest sightings of each entity."""
-    return ranked(sightings, [key], [F.desc("seen_at_ms"), "event_id"], limit)
-
+def recent_sightings(
+    sightings: DataFrame,
+    key: str,
+    limit: int = RECENT_SHOWN,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """K4: the newest sightings of each entity.
+
+    Rows read from files are ranked by key, time and id alone and fetched afterwards; `stage`
+    (such as `Tables.staged`) makes that a join of known size over the winners' days.
+    """
+    order = [F.desc("seen_at_ms"), "event_id"]
+    wide = late.located(sightings)
+    if wide is None:
+        return ranked(sightings, [key], order, limit)
+    day = [c for c in ("local_date",) if c in sightings.columns and stage]
+    narrow = wide.select(key, "seen_at_ms", "event_id", *day, *late.PLACE)
+    winners = ranked(narrow, [key], order, limit).select("rank", *day, *late.PLACE)
+    return late.fetch_winners(wide, winners, stage)
+
+
+def recent_thumbs(
+    sightings: DataFrame, key: str, stage: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """K9: the first twelve usable images among the recent sightings of each entity.
 
-def recent_thumbs(sightings: DataFrame, key: str) -> DataFrame:
-    """K9: the first twelve usable images among the recent sightings of each entity."""
-    shown = recent_sightings(sightings, key).withColumn("image", texts.jpeg_base64("image_base64"))
-    usable = shown.filter("image IS NOT NULL")
-    return ranked(usable, [key], ["rank"], THUMBS_SHOWN, rank="position").drop("rank")
+    An entity has few of them, so they are put in order inside one array.
+    """
+    shown = recent_sightings(sightings, key, stage=stage)
+    usable = shown.withColumn("image", texts.jpeg_base64("image_base64")).filter("image IS NOT NULL")
+    columns = [c for c in usable.columns if c not in (key, "rank")]
+    items = F.sort_array(F.collect_list(F.struct("rank", F.struct(*columns).alias("item"))))
+    first = usable.groupBy(key).agg(F.slice(items, 1, THUMBS_SHOWN).alias("items"))
+    each = first.select(key, F.posexplode("items").alias("position", "one"))
+    return each.select(key, (F.col("position") + 1).alias("position"), "one.item.*")
 
 
 def day_spans(sessions: DataFrame, key: str) -> DataFrame:
@@ -175,6 +203,7 @@ def person_profiles(
     zone: str,
     person_key: str | None = None,
     images: bool = True,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per person. Visits come from the materialised tables; U4: typical times
     prefer sessions over reports, heat prefers reports over sessions, person by person."""
@@ -182,7 +211,7 @@ def person_profiles(
         match = F.col("person_key") == person_key
         faces, sessions, reports = (d.filter(match) for d in (faces, sessions, reports))
     shown = _without_images(FACE_COLUMNS, images)
-    recent = recent_sightings(faces.select(*shown), "person_key")
+    recent = recent_sightings(faces.select(*shown), "person_key", stage=stage)
     joined = (
         person_identities(faces)
         .join(visit_summary(sessions, "person_key", zone, today), "person_key", "left")
@@ -218,12 +247,13 @@ def vehicle_profiles(
     zone: str,
     plate_key: str | None = None,
     images: bool = True,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per plate. Visits are cut from all sightings and count on their start day."""
     if plate_key is not None:
         vehicles = vehicles.filter(F.col("plate_key") == plate_key)
     shown = _without_images(VEHICLE_COLUMNS, images)
-    recent = recent_sightings(vehicles.select(*shown), "plate_key")
+    recent = recent_sightings(vehicles.select(*shown), "plate_key", stage=stage)
     visits = vehicle_sessions(vehicles, rules)
     joined = (
         vehicle_identities(vehicles)

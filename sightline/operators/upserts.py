@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """The first row per key. Every map task keeps one row per key before the shuffle
-    (WindowGroupLimit), so any number of copies of one key stays cheap."""
-    window = Window.partitionBy(key).orderBy(*order)
+    (WindowGroupLimit), so any number of copies of one key stays cheap. Rows are sorted as
+    they are: pass narrow ones and fetch the rest by place (`late`)."""
+    window = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 

@@ -11,6 +11,7 @@ from ..operators.upserts import orphans
 from ..params import HOUR_MS, JobParams
 from ..schemas import MARKERS
 from ..sources.tables import Tables
+from . import key_ledger
 from .materialize import materialize_date
 
 REPORT_LAG_MS = 12 * HOUR_MS
@@ -57,6 +58,7 @@ def apply_retention(tables: Tables, now_ms: int) -> dict[str, int]:
         days = _touched_days(tables, table, now_ms, expired)
         pruned = dict(stored, **{table: tables.only_days(table, days)})
         _rewrite(tables, table, retention.aged_tables(pruned, now_ms)[table], days)
+    key_ledger.drop_expired(tables, now_ms)
     state = tables.read("materialization_state")
     faces = tables.read("face_events").select("local_date").distinct()
     gone = state.join(faces, "local_date", "left_anti").select("local_date").collect()

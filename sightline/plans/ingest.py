@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import parse
+from ..operators import late, parse
 from ..operators.upserts import canonical_ids, keep_first, stored_matches
 from ..params import JobParams
 from ..sources.tables import Tables
+from . import key_ledger
+from .key_ledger import KINDS
 
 NOTE_ORDER = ["received_at_ms", "id"]
 SIGHTING_ORDER = ["received_at_ms", "notification_id", "pos"]
-_ORDER_COLUMNS = ("received_at_ms", "pos", "delivery_key")
 
 
 def added_rows(new: dict[str, DataFrame], zone: str) -> DataFrame:
@@ -83,72 +87,138 @@ def counter_rows(lines: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
-def plan_ingest(lines: DataFrame, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Rows to append to each table. `stored` holds the current tables.
+def batch_rows(lines: DataFrame) -> dict[str, DataFrame]:
+    """Rows of a batch by kind, copies included."""
+    return {
+        "notes": parse.notifications_of(lines),
+        "face": parse.faces_of(lines),
+        "vehicle": parse.vehicles_of(lines),
+    }
+
+
+def keyed_lines(lines: DataFrame, *more: str) -> DataFrame:
+    """What decides which rows are stored: `kind`, `key` and the order of arrival.
+
+    A line that carries a notification and a sighting gives two rows.
+    """
+    accepted = lines.filter(F.col("reason").isNull())
+    order = ["received_at_ms", "notification_id", "pos"]
+
+    def rows(kind, key, wanted, pos):
+        columns = [F.lit(kind).alias("kind"), F.col(key).alias("key"), *order[:2], pos.alias("pos")]
+        return accepted.filter(wanted).select(*columns, "delivery_key", *more)
+
+    heads = rows("notes", "delivery_key", F.col("is_head"), F.lit(0))
+    kinds = [rows(k, "event_id", F.col("kind") == k, F.col("pos")) for k in ("face", "vehicle")]
+    return heads.unionByName(kinds[0]).unionByName(kinds[1])
+
 
-    Copies collapse before any join (keep-first), so the joins see unique keys only.
+def choose(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """Places of the lines to store, as (`kind`, `canonical_id`, place); `lines` come with places.
+
+    `known`: (`kind`, `key`, `ref`), the stored keys, deliveries with the id they have. Copies
+    collapse first, on narrow rows, so the joins see each key once.
     """
-    first_notes = keep_first(parse.notifications_of(lines), "delivery_key", NOTE_ORDER)
-    known = stored_matches(
-        stored["webhook_notifications"],
-        parse.notifications_of(lines),
-        "delivery_key",
-        ["delivery_key", "id"],
+    first = keep_first(keyed_lines(lines, *late.PLACE), ["kind", "key"], SIGHTING_ORDER)
+    notes = F.col("kind") == "notes"
+    ids = canonical_ids(
+        first.filter(notes).select("delivery_key", F.col("notification_id").alias("id")),
+        known.filter(notes).select(F.col("key").alias("delivery_key"), F.col("ref").alias("id")),
     )
-    ids = canonical_ids(first_notes.select("delivery_key", "id"), known)
-    out = {
-        "notes": first_notes.join(known.select("delivery_key"), "delivery_key", "left_anti"),
-        "rejects": parse.rejects_of(lines),
-    }
-    for kind, table, found in (
-        ("face", "face_events", parse.faces_of(lines)),
-        ("vehicle", "vehicle_events", parse.vehicles_of(lines)),
-    ):
-        first = keep_first(found, "event_id", SIGHTING_ORDER)
-        seen = stored_matches(stored[table], found, "event_id", ["event_id"])
-        fresh = first.join(seen, "event_id", "left_anti")
-        # Few lines per delivery are left, as each event id is kept once.
-        linked = fresh.join(ids, "delivery_key", "left")
-        out[kind] = linked.withColumn("notification_id", F.col("canonical_id")).drop(
-            "canonical_id"
-        )
+    fresh = first.join(known.select("kind", "key"), ["kind", "key"], "left_anti")
+    return fresh.join(ids, "delivery_key", "left").select("kind", "canonical_id", *late.PLACE)
+
+
+def chosen_rows(lines: DataFrame, chosen: DataFrame) -> dict[str, DataFrame]:
+    """Rows to append to each table: whole lines, fetched by their places."""
+    out = {"rejects": parse.rejects_of(lines)}
+    for kind in KINDS:
+        some = chosen.filter(F.col("kind") == kind).drop("kind")
+        picked = late.fetched(lines, some)
+        if kind != "notes":
+            picked = picked.withColumn("notification_id", F.col("canonical_id"))
+        out[kind] = batch_rows(picked)[kind]
     return out
 
 
-def recorded(tables: Tables, lines: DataFrame, new: dict[str, DataFrame], batch: str, zone: str):
+def plan_ingest(
+    lines: DataFrame,
+    stored: dict[str, DataFrame],
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> dict[str, DataFrame]:
+    """Rows to append to each table, by a look at the stored tables themselves.
+
+    `lines` are read from files; `stage` writes the chosen places, so that they are found once.
+    """
+    lines = late.located(lines)
+    keys = keyed_lines(lines)
+    known = []
+    for kind, (table, key, _) in KINDS.items():
+        own = keys.filter(F.col("kind") == kind).select(F.col("key").alias(key))
+        columns = [key, "id"] if kind == "notes" else [key]
+        found = stored_matches(stored[table], own, key, columns)
+        ref = F.col("id") if kind == "notes" else F.lit(None).cast("string")
+        known.append(found.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), ref.alias("ref")))
+    return chosen_rows(lines, stage(choose(lines, known[0].unionByName(known[1]).unionByName(known[2]))))
+
+
+def fingerprint(lines: DataFrame) -> str:
+    """Number and checksum of the lines of a batch."""
+    content = F.xxhash64("notification_id", "delivery_key", "pos", "received_at_ms", "reason", "event_id")
+    seen = lines.agg(F.count("*").alias("n"), F.sum(content.cast("decimal(38,0)")).alias("sum")).first()
+    return f"{seen.n}:{seen.sum}"
+
+
+def record_of(tables: Tables, batch: str, mark: str) -> DataFrame:
     """What a batch adds, as written down before its first try stored anything.
 
     A repeat, known by name and content, gets the numbers of the first try, however much of
     it was stored. Other content under the same name is a batch of its own.
     """
-    content = F.xxhash64("notification_id", "delivery_key", "pos", "received_at_ms", "reason", "event_id")
-    seen = lines.agg(F.count("*").alias("n"), F.sum(content.cast("decimal(38,0)")).alias("sum")).first()
-    same = (F.col("batch") == batch) & (F.col("fingerprint") == f"{seen.n}:{seen.sum}")
-    if tables.read("ingest_batches").filter(same).isEmpty():
-        added = added_rows(new, zone).withColumn("fingerprint", F.lit(f"{seen.n}:{seen.sum}"))
-        tables.replace_days(added.withColumn("batch", F.lit(batch)), "ingest_batches")
+    same = (F.col("batch") == batch) & (F.col("fingerprint") == mark)
     return tables.read("ingest_batches").filter(same)
 
 
+def unstored(tables: Tables, new: DataFrame, kind: str) -> DataFrame:
+    """Of a repeated batch: the rows its earlier tries did not store. Reads the rows' own days."""
+    table, key, _ = KINDS[kind]
+    days = [r.local_date for r in new.select("local_date").distinct().collect()]
+    return new.join(tables.only_days(table, days).select(key), key, "left_anti")
+
+
 def ingest(raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0") -> list[str]:
     """Parse a raw batch once, append what is new, and return the days that got new faces.
 
-    Safe to repeat: a second run of the same batch stores what the first one did not come to,
-    writes its rejects and counters again and returns the same days. Parents are written before
-    children and counters last. The counters of the batch are in `ops_daily_counters`.
-    The returned list has one short text per calendar day.
+    Whether a key is stored is asked of the key ledger, so a batch reads no history. Safe to
+    repeat: a second run of the same batch stores what the first one did not come to, writes
+    its rejects and counters again and returns the same days. The ledger is written before
+    the rows, parents before children and counters last. The counters of the batch are in
+    `ops_daily_counters`. The returned list has one short text per calendar day.
     """
     with tables.staging():
-        lines = tables.staged(parse.alarm_lines(raw, params), "alarm-lines")
-        planned = plan_ingest(lines, tables.all())
-        new = {k: tables.staged(planned[k], f"new-{k}") for k in ("notes", "face", "vehicle")}
-        added = recorded(tables, lines, new, batch, params.zone)
-        tables.append(new["notes"], "webhook_notifications")
-        tables.append(new["face"], "face_events")
-        tables.append(new["vehicle"], "vehicle_events")
+        lines = late.located(tables.staged(parse.alarm_lines(raw, params), "alarm-lines"))
+        mark = fingerprint(lines)
+        name = hashlib.md5(f"{batch}\n{mark}".encode()).hexdigest()
+        repeated = not record_of(tables, batch, mark).isEmpty()
+        key_ledger.ensure(tables)
+        key_ledger.recover(tables, name)
+        keys = keyed_lines(lines).select("kind", "key").distinct()
+        known = tables.staged(key_ledger.known(tables, keys, name), "known-keys")
+        chosen = tables.staged(choose(lines, known), "chosen-lines")
+        planned = chosen_rows(lines, chosen)
+        new = {k: tables.staged(planned[k], f"new-{k}") for k in KINDS}
+        files = key_ledger.add(tables, new, name)
+        if not repeated:
+            added = added_rows(new, params.zone).withColumn("fingerprint", F.lit(mark))
+            tables.replace_days(added.withColumn("batch", F.lit(batch)), "ingest_batches")
+        added = record_of(tables, batch, mark)
+        for kind, (table, _, _) in KINDS.items():
+            tables.append(unstored(tables, new[kind], kind) if repeated else new[kind], table)
+        key_ledger.commit(tables, files, name)
         tables.replace_days(planned["rejects"].withColumn("batch", F.lit(batch)), "rejected_alarms")
         counts = counter_rows(lines, added)
         tables.replace_days(counts.withColumn("batch", F.lit(batch)), "ops_daily_counters")
+        key_ledger.merge_parts(tables)
         days = added.filter("kind = 'face'").select("local_date").distinct()
         return [r.local_date for r in days.collect()]
 

@@ -77,6 +77,14 @@ BATCHES = _schema(
     "batch string"
 )
 
+# Stored keys by hash, the blocks of their Bloom filters, and the names of the parts.
+LEDGER = _schema(
+    "digest long, check long, ref? string, at_ms long, kind string, bucket int, part string"
+)
+FILTERS = _schema("block long, bits long, bucket int, part string")
+LEDGER_FILES = _schema("bucket int, keys long, blocks long, part string")
+LEDGER_OPEN = _schema("bucket int, part string")
+
 TABLES = {
     "webhook_notifications": NOTIFICATIONS,
     "face_events": FACES,
@@ -88,6 +96,10 @@ TABLES = {
     "ops_markers": MARKERS,
     "rejected_alarms": REJECTS,
     "ingest_batches": BATCHES,
+    "key_ledger": LEDGER,
+    "key_filters": FILTERS,
+    "ledger_files": LEDGER_FILES,
+    "ledger_open": LEDGER_OPEN,
 }
 
 # Every table but the markers is laid out by day, so day and month filters prune files.
@@ -95,6 +107,8 @@ PARTITIONS = {name: ["local_date"] for name in TABLES if name != "ops_markers"}
 # What a repeated batch writes again is found by its name.
 PARTITIONS["ops_daily_counters"] = PARTITIONS["rejected_alarms"] = ["local_date", "batch"]
 PARTITIONS["ingest_batches"] = ["batch"]
+PARTITIONS["key_ledger"] = PARTITIONS["key_filters"] = ["part", "bucket"]
+PARTITIONS["ledger_files"] = PARTITIONS["ledger_open"] = ["part"]
 
 # Column that rows of one day are sorted by, so that row-group statistics prune key lookups.
 CLUSTERING = {
@@ -103,4 +117,6 @@ CLUSTERING = {
     "vehicle_events": ["plate_key", "seen_at_ms"],
     "presence_sessions": ["person_key", "started_at_ms"],
     "daily_person_reports": ["person_key"],
+    "key_ledger": ["digest"],
+    "key_filters": ["block"],
 }

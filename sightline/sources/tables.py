@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CLUSTERING, PARTITIONS, TABLES
@@ -73,8 +73,12 @@ class Tables:
 
         One file-system call per calendar day, no Spark job; repeating it is harmless.
         """
-        for day in days:
-            self._delete(f"{self.path(table)}/local_date={day}")
+        self.clear(table, [f"local_date={day}" for day in days])
+
+    def clear(self, table: str, folders: Iterable[str]) -> None:
+        """Drop whole partitions by the names of their folders."""
+        for folder in folders:
+            self._delete(f"{self.path(table)}/{folder}")
 
     @contextmanager
     def staging(self) -> Iterator[None]:
@@ -98,4 +102,8 @@ class Tables:
 
     def only_days(self, table: str, days: list[str]) -> DataFrame:
         """Pruned read of some days."""
-        return self.read(table).filter(F.col("local_date").isin(days))
+        return self.only_where(table, F.col("local_date").isin(days))
+
+    def only_where(self, table: str, wanted: Column) -> DataFrame:
+        """Pruned read by a test on partition columns."""
+        return self.read(table).filter(wanted)

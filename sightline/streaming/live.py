@@ -2,8 +2,8 @@
 
 `session_window` merges a sighting that comes exactly one gap later, as the batch rule does.
 Its gap belongs to single sightings, so it can carry a default and per-entity overrides, but
-not the camera override, which depends on two neighbours. With camera overrides use
-`streaming.ingest.ingest_stream(..., now_ms=...)`, which re-cuts the touched days.
+not the camera override, which depends on two neighbours. With camera overrides the sessions
+come from the stateful processor in `camera_sessions`.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import GapRules
+from .camera_sessions import camera_sessions
 
 
 def entity_gap(key: str, rules: GapRules) -> Column:
@@ -34,7 +35,8 @@ def live_sessions(
     the map side, so a hot entity sends merged sessions, not sightings, through the shuffle.
     """
     if rules.by_camera:
-        raise ValueError("camera overrides are pairwise; re-cut the touched days instead")
+        found = camera_sessions(sightings, key, rules, watermark)
+        return found.select(key, "started_at_ms", "ended_at_ms", "sighting_count")
     gap = entity_gap(key, rules) if rules.by_entity else _milliseconds(rules.default_ms)
     window = F.session_window("seen_ts", gap)
     return (

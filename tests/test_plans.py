@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import feed, registry
 from sightline.operators import directory, profiles, reports, sessions, upserts
+from sightline.params import GapRules
+from sightline.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +34,7 @@ def test_first_and_top_rows_are_cut_before_the_shuffle(spark):
     faces = feed.faces(spark, SF)
     for df in (
         upserts.keep_first(faces, "event_id", ["seen_at_ms"]),
+        upserts.keep_first(faces, ["person_key", "event_id"], ["seen_at_ms"]),
         profiles.recent_sightings(faces, "person_key"),
         profiles.top_cameras(faces, "person_key"),
     ):
@@ -43,17 +47,70 @@ def test_sightings_are_hash_aggregated_before_names(spark):
 
 
 def test_day_filters_prune_partitions_and_columns(spark, tmp_path):
-    from sightline.sources.tables import Tables
-
     tables = Tables(spark, str(tmp_path))
     tables.append(feed.faces(spark, SF), "face_events")
     text = plan(directory.events_for_date(tables.read("face_events"), feed.TODAY))
     assert re.search(r"PartitionFilters: \[.*local_date", text) and "raw_trigger_json" not in text
 
 
-def test_gap_overrides_need_no_join(spark):
-    text = plan(sessions.gap_sessions(feed.faces(spark, SF), feed.GAPS_240))
-    assert "Join" not in text
+def test_small_gap_overrides_shuffle_no_sighting(spark):
+    faces = feed.faces(spark, SF)
+    text = plan(sessions.gap_sessions(faces, feed.GAPS_240))
+    assert set(re.findall(r"\w+Join", text)) <= {"BroadcastHashJoin"}
+    plain = plan(sessions.gap_sessions(faces, GapRules(240)))
+    names = [[re.sub(r"#\w+", "", by) for by in exchanges(t)] for t in (text, plain)]
+    assert names[0] == names[1] and len(names[0]) == 2
+
+
+def test_large_gap_overrides_are_joined_by_shuffle_with_the_same_rows(spark):
+    faces = feed.faces(spark, SF)
+    small = sessions.gap_sessions(faces, feed.GAPS_240).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        # A camera with all sightings: what is joined is dealt by entity next, not gathered.
+        df = sessions.gap_sessions(faces, feed.GAPS_240)
+        assert "SortMergeJoin" in plan(df)
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, small))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("staged", [True, False])
+def test_images_are_fetched_after_ranking(spark, tmp_path, staged):
+    tables = Tables(spark, str(tmp_path))
+    tables.append(feed.faces(spark, SF), "face_events")
+    stage = (lambda df: tables.staged(df, "winners")) if staged else None
+    df = profiles.recent_sightings(tables.read("face_events"), "person_key", stage=stage)
+    tree = df._jdf.queryExecution().executedPlan().toString()
+    for node in nodes_with_output(df, ("Sort", "WindowGroupLimit", "Window")):
+        assert not {"image_base64", "raw_trigger_json"} & node, tree
+    if staged:
+        assert "WindowGroupLimit" not in tree and re.search(r"PartitionFilters: \[.*local_date", tree)
+    else:
+        assert "ShuffledHashJoin" in tree
+    got = {(r.event_id, r["rank"], r.image_base64) for r in df.collect()}
+    plain = profiles.ranked(tables.read("face_events"), ["person_key"], [F.desc("seen_at_ms"), "event_id"], 24)
+    assert got == {(r.event_id, r["rank"], r.image_base64) for r in plain.collect()}
+
+
+def nodes_with_output(df, names):
+    """Output columns of each physical node whose name is one of `names`."""
+    found = []
+
+    def walk(node):
+        if node.nodeName() in names:
+            output = node.output()
+            found.append({output.apply(i).name() for i in range(output.size())})
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.initialPlan())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
 
 
 def test_payloads_are_parsed_once(spark):
