@@ -1,7 +1,7 @@
 """Elias-Fano sequences and a two-level n-gram trie of them, kept as one block of bytes.
 
 A trie holds (context, successor) pairs with a probability code each. Level one is the sorted contexts,
-with a monotone pointer to each context's first successor; level two is the successors of all contexts
+with a monotone pointer to each context's first successor, which bounds the search; level two is the successors of all contexts
 as one rising sequence of `context place * SPAN + successor`. All three are Elias-Fano sequences. The
 probabilities are one byte each, the index of 256 values evenly spaced from the least to the greatest.
 """
@@ -52,7 +52,7 @@ class EliasFano:
         bits = np.unpackbits(np.frombuffer(buffer, np.uint8, n_high, at), count=n_bits, bitorder="little")
         zeros = np.flatnonzero(bits == 0)
         #: elements whose high part is below h
-        self.starts = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int64)
+        self.starts = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int32 if self.n < 1 << 31 else np.int64)
         self.end = at + n_high
 
     def lows(self, places: np.ndarray) -> np.ndarray:
@@ -68,8 +68,8 @@ class EliasFano:
         high = np.searchsorted(self.starts, places, side="right") - 1
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(places)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Place of each value, or -1."""
+    def find(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of each value, or -1; with bounds, the place is searched from `begin` to before `end` only."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         low = values & np.uint64((1 << self.low_bits) - 1)
@@ -77,6 +77,8 @@ class EliasFano:
         known = high <= last
         high = np.minimum(high, last)
         a, b = self.starts[high], np.where(known, self.starts[high + 1], self.starts[high])
+        if begin is not None:
+            a, b = np.maximum(a, begin), np.maximum(np.maximum(a, begin), np.minimum(b, end))
         left, right = a.copy(), b.copy()
         while (going := left < right).any():
             middle = (left + right) // 2
@@ -121,9 +123,9 @@ class Trie:
         place = self.contexts.find(contexts)
         known = np.flatnonzero(place >= 0)
         rank = place[known].astype(np.uint64)
-        at = self.successors.find(rank * np.uint64(self.span) + successors[known].astype(np.uint64))
-        low, high = self.pointers.access(place[known]), self.pointers.access(place[known] + 1)
-        inside = (at >= 0) & (at >= low.astype(np.int64)) & (at < high.astype(np.int64))
+        begin, end = (self.pointers.access(place[known] + i).astype(np.int64) for i in (0, 1))
+        at = self.successors.find(rank * np.uint64(self.span) + successors[known].astype(np.uint64), begin, end)
+        inside = at >= 0
         found, values = np.zeros(len(contexts), bool), np.zeros(len(contexts))
         found[known[inside]] = True
         values[known[inside]] = self.book[self.codes[at[inside]]]

@@ -7,10 +7,13 @@ the counts of all words; the HEAD_WORDS most frequent ones have ids, and all oth
     p(word | class) = (count + 0.1) / (all of the class + 0.1 * (words of the class + 1))
 
 The bigrams that occur are dealt out into shards by context and the low bits of the successor, so that
-no context is too large for one; their number follows the input. A shard's task builds a trie whose
-probabilities take a byte each, and looks up the bigrams that the texts send, streaming. Words outside
-the head join the table of counts. Only the head (of fixed size) is broadcast. So a text's score is the
-sum of three partial sums, and no text or table is held anywhere as a whole.
+no context is too large for one; their number follows the input, a million training tokens to each. A
+shard's task builds a trie whose probabilities take a byte each. Texts are read once more to be scored:
+that pass sends their bigrams to the shards of these, their words outside the head, by hash, to the
+shards that have the counts of those, and what the head alone tells. A shard's rows come in this order,
+trie and counts before the questions, so a task looks things up while rows stream by. Only the head (of
+fixed size) is broadcast. So a text's score is the sum of partial sums, and no text or table is held
+anywhere as a whole.
 
 Defined results: null text counts as empty and has one token, the end. A row with null doc_id is
 trained on and is not held out. Repeated rows train and are scored each. Without training texts no
@@ -26,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +45,11 @@ END, CLASS, START, FIRST = 0, 1, 2, 3
 HEAD_WORDS = (1 << ID_BITS) - FIRST
 STRENGTH = 200.0
 #: Training tokens to a shard, tokens a map task packs at once, and distinct words it counts at once.
-SHARD_TOKENS, CHUNK_TOKENS, COUNTED_WORDS = 8_000_000, 2_000_000, 400_000
+SHARD_TOKENS, CHUNK_TOKENS, COUNTED_WORDS = 1_000_000, 2_000_000, 400_000
+#: Kinds of rows that meet in a shard, in the order in which they come.
+TRIE, COUNTS, PAIRS, RARE, PLAIN = range(5)
 _PARTIAL = "row long, n_tokens long, n_known long, base double, score double"
+_SENT = f"shard int, kind int, body binary, {_PARTIAL}"
 
 
 class Head:
@@ -136,9 +144,13 @@ def unsqueeze(content: bytes) -> list[np.ndarray]:
     return out
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+def rare_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def _by_shard(keys: np.ndarray, shards: int, shard_by=shard_of) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places of its keys in rising order of key)."""
-    shard = shard_of(keys, shards)
+    shard = shard_by(keys, shards)
     order = np.lexsort((keys, shard))
     ordered = shard[order]
     cuts = np.searchsorted(ordered, np.arange(shards + 1))
@@ -224,100 +236,142 @@ def build_shards(shared):
     return run
 
 
-def bigram_queries(shared, shards: int):
-    """The bigrams of all texts by shard: distinct keys, how often each, and the texts they stand in."""
+def rare_hash(word: bytes) -> int:
+    """A word outside the head in 63 bits."""
+    return xxhash.xxh3_64_intdigest(word) >> 1
+
+
+def _sent(shard, kind: int, body=None, partial=None) -> pa.RecordBatch:
+    """Rows of one kind: with a body, or with columns of partial sums."""
+    n = len(shard)
+    arrays = [pa.array(shard, pa.int32()), pa.array(np.full(n, kind), pa.int32())]
+    arrays.append(pa.nulls(n, pa.binary()) if body is None else pa.array(body, pa.binary()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    arrays += [pa.nulls(n, k) if partial is None else pa.array(c, k) for c, k in zip(partial or kinds, kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SENT.split(", ")])
+
+
+def _asked(keys: np.ndarray, text: np.ndarray, names: np.ndarray, shards: int, shard_by) -> Iterator[tuple[int, bytes]]:
+    """(shard, question): distinct keys, how often each, and the texts they stand in."""
+    for s, at in _by_shard(keys, shards, shard_by):
+        distinct, n = np.unique(keys[at], return_counts=True)
+        used, place = np.unique(text[at], return_inverse=True)
+        yield s, squeeze(distinct, n, place, names[used])
+
+
+def questions(shared, shards: int):
+    """What the shards are asked about all texts, and what the head alone tells of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, held, rows, size = _head_of(shared), [], [], 0
+        head = _head_of(shared)
+        held, rare, rows, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate(held)
-            text = np.repeat(np.arange(len(held)), [len(x) for x in held])
             names = np.array(rows, np.int64)
-            for s, at in _by_shard(keys, shards):
-                distinct, n = np.unique(keys[at], return_counts=True)
-                used, place = np.unique(text[at], return_inverse=True)
-                body = squeeze(distinct, n, place, names[used])
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([body], pa.binary())], names=["shard", "body"])
+            for kind, parts, by in ((PAIRS, held, shard_of), (RARE, rare, rare_shard)):
+                keys, text = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                if len(keys):
+                    found = list(_asked(keys, text, names, shards, by))
+                    yield _sent([s for s, _ in found], kind, [b for _, b in found])
 
         for batch in batches:
+            plain = []
             for row, words in zip(batch.column("row").to_pylist(), _texts(batch)):
-                held.append(bigrams_of(head.ids(words)))
+                ids = head.ids(words)
+                held.append(bigrams_of(ids))
+                rare.append(np.array([rare_hash(words[i]) for i in np.flatnonzero(ids == CLASS).tolist()], np.int64))
                 rows.append(row)
-                size += len(held[-1])
+                size += len(ids)
+                ids = ids[ids != CLASS]
+                plain.append((row, len(words) + 1, int((head.count[ids] > 0).sum()), math.fsum(head.base_log[ids].tolist()), 0.0))
                 if size > CHUNK_TOKENS:
                     yield from flush()
-                    held, rows, size = [], [], 0
+                    held, rare, rows, size = [], [], [], 0
+            if plain:
+                columns = list(zip(*plain))
+                yield _sent(np.array(columns[0]) % shards, PLAIN, partial=columns)
         if held:
             yield from flush()
 
     return run
 
 
+def rare_counts(shared, shards: int):
+    """The counts of words outside the head, dealt out to shards by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = _head_of(shared)
+        head.ids([])
+        for batch in batches:
+            words = batch.column("word").cast(pa.binary()).to_pylist()
+            outside = [i for i, w in enumerate(words) if w not in head.place]
+            keys = np.array([rare_hash(words[i]) for i in outside], np.int64)
+            counts = batch.column("n").to_numpy()[outside]
+            found = [(s, squeeze(keys[at], counts[at])) for s, at in _by_shard(keys, shards, rare_shard)]
+            yield _sent([s for s, _ in found], COUNTS, [b for _, b in found])
+
+    return run
+
+
 def _partials(row, n_tokens, n_known, base, score) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     names = [x.split()[0] for x in _PARTIAL.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((row, n_tokens, n_known, base, score), kinds)], names=names)
 
 
-def score_bigrams(shared):
-    """Rows come sorted by shard, each trie before its queries: partial scores of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, now, trie = _head_of(shared), None, None
-        for batch in batches:
-            for shard, kind, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "body"))):
-                if kind == 0 or shard != now:
-                    now, trie = shard, Trie(body) if kind == 0 else None
-                if kind == 0:
-                    continue
-                keys, n, place, names = unsqueeze(body)
-                values = head.unseen(keys >> ID_BITS, keys & ((1 << ID_BITS) - 1))
-                if trie is not None:
-                    found, known = trie.find(*_pairs(keys))
-                    values = np.where(found, known, values)
-                sums = np.bincount(place, np.repeat(values, n), len(names))
-                zero = np.zeros(len(names), np.int64)
-                yield _partials(names, zero, zero, zero.astype(float), sums)
-
-    return run
+class Shard:
+    """What a task knows of one shard: its trie, and the counts of its rare words."""
 
+    def __init__(self, head: Head):
+        self.head, self.trie, self.counts = head, None, []
+        self.sorted: list[np.ndarray] | None = None
 
-def head_parts(shared):
-    """Of each text: its tokens, and those in the head with their base score."""
+    def learn(self, kind: int, body: bytes) -> None:
+        if kind == TRIE:
+            self.trie = Trie(body)
+        else:
+            self.counts.append(unsqueeze(body))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _head_of(shared)
-        for batch in batches:
-            out = []
-            for words in _texts(batch):
-                ids = head.ids(words)
-                ids = ids[ids != CLASS]
-                out.append((len(words) + 1, int((head.count[ids] > 0).sum()), math.fsum(head.base_log[ids].tolist())))
-            if out:
-                n, known, base = zip(*out)
-                yield _partials(batch.column("row"), n, known, base, np.zeros(len(out)))
+    def pairs(self, body: bytes) -> pa.RecordBatch:
+        keys, n, place, names = unsqueeze(body)
+        values = self.head.unseen(keys >> ID_BITS, keys & ((1 << ID_BITS) - 1))
+        if self.trie is not None:
+            found, known = self.trie.find(*_pairs(keys))
+            values = np.where(found, known, values)
+        zero = np.zeros(len(names), np.int64)
+        return _partials(names, zero, zero, zero.astype(float), np.bincount(place, np.repeat(values, n), len(names)))
 
-    return run
+    def rare(self, body: bytes) -> pa.RecordBatch:
+        keys, n, place, names = unsqueeze(body)
+        if self.sorted is None:
+            self.sorted = _merged(self.counts) if self.counts else [np.empty(0, np.int64)] * 2
+        known, counts = self.sorted
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        c = np.where(known[at] == keys, counts[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+        sums = [np.bincount(place, np.repeat(x, n), len(names)) for x in (
+            c > 0, np.log10((c + 0.1) / self.head.base_scale), np.log10((c + 0.1) / self.head.tail_scale))]
+        return _partials(names, np.zeros(len(names), np.int64), sums[0].astype(np.int64), sums[1], sums[2])
 
 
-def tail_words(shared):
-    """Words outside the head: word, row, times."""
+def score_shards(shared):
+    """Rows come sorted by shard and kind: partial scores of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _head_of(shared)
-        head.ids([])
+        head, now, shard = _head_of(shared), None, None
         for batch in batches:
-            words, rows, times = [], [], []
-            for row, text in zip(batch.column("row").to_pylist(), _texts(batch)):
-                rare = Counter([w for w in text if w not in head.place])
-                words += rare.keys()
-                times += rare.values()
-                rows += [row] * len(rare)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()).cast(pa.string()), pa.array(rows, pa.int64()), pa.array(times, pa.int64())],
-                names=["word", "row", "times"],
-            )
+            kinds = batch.column("kind").to_numpy()
+            plain = pa.array(kinds == PLAIN)
+            if pc.any(plain).as_py():
+                yield batch.filter(plain).select([x.split()[0] for x in _PARTIAL.split(", ")])
+            bodies = batch.column("body")
+            for i, s in zip(np.flatnonzero(kinds != PLAIN).tolist(), batch.column("shard").to_numpy()[kinds != PLAIN].tolist()):
+                if s != now:
+                    now, shard = s, Shard(head)
+                kind, body = int(kinds[i]), bodies[i].as_py()
+                if kind in (TRIE, COUNTS):
+                    shard.learn(kind, body)
+                else:
+                    yield shard.pairs(body) if kind == PAIRS else shard.rare(body)
 
     return run
 
@@ -343,24 +397,16 @@ def score(docs: DataFrame) -> DataFrame:
     texts, training = rows.select("row", "text"), rows.where("not held_out").select("text")
     words, head = learn_words(training)
     shared = spark.sparkContext.broadcast(head)
-    shards = max(16, math.ceil(head.total / SHARD_TOKENS))
+    shards = max(4, math.ceil(head.total / SHARD_TOKENS))
     dealt = training.mapInArrow(bigram_counts(shared, shards), "shard int, body binary").repartition(shards, "shard")
     tries = dealt.sortWithinPartitions("shard").mapInArrow(build_shards(shared), "shard int, body binary")
     tries = staged(tries, "tries")
-    asked = texts.mapInArrow(bigram_queries(shared, shards), "shard int, body binary")
-    both = tries.select("shard", F.lit(0).alias("kind"), "body").unionByName(asked.select("shard", F.lit(1).alias("kind"), "body"))
+    absent = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _PARTIAL.split(", ")]
+    learned = tries.select("shard", F.lit(TRIE).alias("kind"), "body", *absent)
+    learned = learned.unionByName(words.mapInArrow(rare_counts(shared, shards), _SENT))
+    both = learned.unionByName(texts.mapInArrow(questions(shared, shards), _SENT))
     both = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    pairs = both.mapInArrow(score_bigrams(shared), _PARTIAL)
-    plain = texts.mapInArrow(head_parts(shared), _PARTIAL)
-    rare = texts.mapInArrow(tail_words(shared), "word string, row long, times long").join(words, "word", "left")
-    n = F.coalesce("n", F.lit(0)) + 0.1
-    rare = rare.groupBy("row").agg(
-        F.lit(0).cast("long").alias("n_tokens"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10(n / head.base_scale)).alias("base"),
-        F.sum(F.col("times") * F.log10(n / head.tail_scale)).alias("score"),
-    )
-    sums = plain.unionByName(pairs).unionByName(rare).groupBy("row").agg(
+    sums = both.mapInArrow(score_shards(shared), _PARTIAL).groupBy("row").agg(
         *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score"))
     )
     return rows.select("row", "doc_id", "held_out").join(sums, "row").select(
