@@ -1,7 +1,8 @@
 """Language of a text by compression (operator 1).
 
-Each language has a raw-content Zstandard dictionary of up to DICTIONARY_BYTES, cut from a bounded
-sample of labelled documents. A text is lower-cased and reduced to letters and single spaces, cut into
+Each learned language has a raw-content Zstandard dictionary of up to DICTIONARY_BYTES, cut from a bounded
+sample of labelled documents; all dictionaries together stay within ALL_BYTES, so many languages get
+smaller ones. The sample takes pieces spread over a text, not its beginning. A text is lower-cased and reduced to letters and single spaces, cut into
 pieces of PIECE_BYTES, and every piece is compressed with each dictionary; the language with the
 smallest total wins. Pieces keep the dictionary decisive in long texts. A result whose margin over the
 runner-up is at most NARROW (relative) is marked as rejected.
@@ -14,22 +15,22 @@ with null doc_id or null lang teach nothing. Other columns are not read, and the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_of
 
-#: Bounds of the training sample: documents per language, their first letters, and languages (the most frequent).
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, MOST_LANGUAGES = 400, 1000, 32
-DICTIONARY_BYTES, PIECE_BYTES = 256 << 10, 1024
+#: Bounds of the training sample: documents per language, pieces of a text, characters of a piece, letters of a text.
+SAMPLE_DOCUMENTS, SAMPLE_PIECES, PIECE_CHARS, SAMPLE_CHARS = 400, 4, 400, 1000
+DICTIONARY_BYTES, ALL_BYTES, PIECE_BYTES = 256 << 10, 8 << 20, 1024
 NARROW = 0.001
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> str:
@@ -75,29 +76,40 @@ def judge(text: str | None, compressors: dict[str, zstandard.ZstdCompressor], na
     return order[0][1], margin, margin <= narrow
 
 
+def _pieces(text: Column) -> Column:
+    """Pieces of a text at even distances, the first at its beginning, the last at its end."""
+    room = F.greatest(F.length(text) - PIECE_CHARS, F.lit(0))
+    starts = [(F.floor(room * i / (SAMPLE_PIECES - 1)) + 1).cast("int") for i in range(SAMPLE_PIECES)]
+    spread = F.concat_ws(" ", *[F.substring(text, s, F.lit(PIECE_CHARS)) for s in starts])
+    return F.when(room <= PIECE_CHARS * (SAMPLE_PIECES - 1), text).otherwise(spread)
+
+
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """labelled (doc_id, text, lang) → a dictionary for each language, from the documents with the smallest hashes."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one short row a language
+    size = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(names)))
+    documents = min(SAMPLE_DOCUMENTS, max(1, SAMPLE_DOCUMENTS * size // DICTIONARY_BYTES))
     keyed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     # about three times the documents needed pass by their hash, so few rows are ranked however many there are
     few = F.lit(False)
     for row in names:
-        share = min(1.0, 3 * SAMPLE_DOCUMENTS / row["count"])
+        share = min(1.0, 3 * documents / row["count"] + 20 / row["count"])
         few = few | ((F.col("lang") == row.lang) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
     keyed = keyed.where(few)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = keyed.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCUMENTS).select("lang", "doc_id", "h")
-    # at most SAMPLE_DOCUMENTS * MOST_LANGUAGES rows
+    chosen = keyed.distinct().withColumn("place", place).where(F.col("place") <= documents).select("lang", "doc_id", "h")
+    # One text of a repeated doc_id: at most SAMPLE_DOCUMENTS rows a language, ALL_BYTES in all but for short ones.
     rows = (
         known.join(F.broadcast(chosen), ["lang", "doc_id"])
-        .select("lang", "h", F.substring("text", 1, 4 * SAMPLE_CHARS).alias("text"))
+        .groupBy("lang", "doc_id", "h")
+        .agg(F.min(_pieces(F.col("text"))).alias("text"))
         .collect()
     )
     taken: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         taken.setdefault(row.lang, []).append(letters(row.text)[:SAMPLE_CHARS])
-    joined = {name: " ".join(parts).encode()[:DICTIONARY_BYTES] for name, parts in taken.items()}
+    joined = {name: " ".join(parts).encode()[:size] for name, parts in taken.items()}
     return {name: content for name, content in joined.items() if len(content) >= 8}
 
 
