@@ -40,6 +40,27 @@ def test_languages(spark, odd, empty):
     assert {r.lang_pred for r in lang_id.identify(odd.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_letters_and_many_languages(spark):
+    """Numerals are no letters, and every learned language can be the answer."""
+    rng = random.Random(6)
+    rows = []
+    for lang in range(40):
+        letters = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6))
+        stems = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(40)]
+        for i in range(12 if lang else 200):
+            text = " ".join(rng.choice(stems) for _ in range(60))
+            # What tells the language stands in the middle of a long text.
+            rows.append((len(rows), "1 " * 3000 + text + " 1" * 3000 if i % 4 == 0 else text, f"l{lang:02d}"))
+    odd = ["½ ²", "Ⅷ", "① ٣", "", None, "ª"]
+    rows += [(100_000 + i, t, None) for i, t in enumerate(odd)] + [(0, "abc", "l01")] * 3
+    found = lang_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert [got[100_000 + i].lang_pred == "und" for i in range(6)] == [True] * 5 + [False]
+    held = [r for i, (_, _, lang) in enumerate(rows[:600]) if (r := got[i]).held_out and lang]
+    right = [rows[r.doc_id][2] == r.lang_pred for r in held]
+    assert np.mean(right) > 0.95 and len({r.lang_pred for r in held}) > 30
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(bpe.public_tokenizers.path(bpe.VOCABULARY))
