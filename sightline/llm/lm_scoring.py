@@ -7,8 +7,8 @@ the counts of all words; the HEAD_WORDS most frequent ones have ids, and all oth
     p(word | class) = (count + 0.1) / (all of the class + 0.1 * (words of the class + 1))
 
 The bigrams that occur are dealt out into shards by context and the low bits of the successor, so that
-no context is too large for one; their number follows the input, a million training tokens to each. A
-shard's task builds a trie whose probabilities take a byte each. Texts are read once more to be scored:
+no context is too large for one; their number follows the input. It is kept low, as a text gets a partial sum
+from every shard it has a bigram in. A shard's task builds a trie whose probabilities take a byte each. Texts are read once more to be scored:
 that pass sends their bigrams to the shards of these, their words outside the head, by hash, to the
 shards that have the counts of those, and what the head alone tells. A shard's rows come in this order,
 trie and counts before the questions, so a task looks things up while rows stream by. Only the head (of
@@ -45,7 +45,7 @@ END, CLASS, START, FIRST = 0, 1, 2, 3
 HEAD_WORDS = (1 << ID_BITS) - FIRST
 STRENGTH = 200.0
 #: Training tokens to a shard, tokens a map task packs at once, and distinct words it counts at once.
-SHARD_TOKENS, CHUNK_TOKENS, COUNTED_WORDS = 1_000_000, 2_000_000, 400_000
+SHARD_TOKENS, CHUNK_TOKENS, COUNTED_WORDS = 6_000_000, 2_000_000, 400_000
 #: Kinds of rows that meet in a shard, in the order in which they come.
 TRIE, COUNTS, PAIRS, RARE, PLAIN = range(5)
 _PARTIAL = "row long, n_tokens long, n_known long, base double, score double"
@@ -397,7 +397,7 @@ def score(docs: DataFrame) -> DataFrame:
     texts, training = rows.select("row", "text"), rows.where("not held_out").select("text")
     words, head = learn_words(training)
     shared = spark.sparkContext.broadcast(head)
-    shards = max(4, math.ceil(head.total / SHARD_TOKENS))
+    shards = max(16, math.ceil(head.total / SHARD_TOKENS))
     dealt = training.mapInArrow(bigram_counts(shared, shards), "shard int, body binary").repartition(shards, "shard")
     tries = dealt.sortWithinPartitions("shard").mapInArrow(build_shards(shared), "shard int, body binary")
     tries = staged(tries, "tries")
