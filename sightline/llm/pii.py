@@ -17,7 +17,7 @@ by document; patterns are written so that no match is tried twice from inside on
 
 Defined results: null text is empty, empty text has no spans. Texts of any length are read as a whole.
 Every row is judged for itself, also if its doc_id is null or occurs again. An added span never overlaps
-a base one, and of overlapping added spans the first stays; at one place the kinds' order decides, then the longer span. Without candidates
+a base one, and where added spans of two kinds overlap, the kind listed first stays. Without candidates
 nothing is fitted; an empty table gives an empty result. Other columns are not read.
 """
 
@@ -95,7 +95,9 @@ def _valid(kind: str) -> Column:
         return F.col("found").rlike(_IP) | F.col("found").contains(":")
     if kind == "card":
         return F.expr(f"if(length(digits) between 13 and 19, {_luhn('digits')}, false)")
-    return F.length("digits").between(9, 15)
+    # Groups of digits alone are any numbers: something must say that this is one to call.
+    said = F.col("found").rlike(r"^(?:\+|00)") | F.col("found").contains("(") | F.lower("tail").rlike(_FOR["phone"])
+    return F.length("digits").between(9, 15) & said
 
 
 def _pieces(text: Column, which: int, pattern: str) -> Column:
@@ -233,17 +235,20 @@ def candidates(docs: DataFrame) -> DataFrame:
         "after",
         F.when(F.col("structure") > 0, 1).otherwise(0).alias("strong"),
     )
-    return staged(_apart(spans, F.col("base"), "base"), "spans")
+    return staged(_apart(spans, F.col("base") & F.col("kind").isNotNull(), ~F.col("base") & F.col("kind").isNotNull()), "spans")
 
 
-def _apart(spans: DataFrame, firm: Column, prefer: str) -> DataFrame:
-    """Drop spans that are not firm and meet a firm one that starts before or after them."""
-    forwards = Window.partitionBy("row").orderBy("start", F.desc(prefer)).rowsBetween(Window.unboundedPreceding, -1)
-    backwards = Window.partitionBy("row").orderBy(F.desc("start"), F.desc(prefer)).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(firm, F.col("stop"))).over(forwards)
-    ahead = F.min(F.when(firm, F.col("start"))).over(backwards)
+def _apart(spans: DataFrame, firm: Column, tested: Column) -> DataFrame:
+    """Drop tested spans that meet a firm one, which starts before or after them."""
+    marked = spans.withColumn("_firm", F.coalesce(firm, F.lit(False)))
+    back = [F.col("_firm").desc(), "stop"]
+    forwards = Window.partitionBy("row").orderBy("start", *back).rowsBetween(Window.unboundedPreceding, -1)
+    backwards = Window.partitionBy("row").orderBy(F.desc("start"), *back).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("_firm"), F.col("stop"))).over(forwards)
+    ahead = F.min(F.when(F.col("_firm"), F.col("start"))).over(backwards)
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("stop")) >= F.col("stop"))
-    return spans.withColumn("_free", free).where(firm | F.col("_free") | F.col("kind").isNull()).drop("_free")
+    kept = marked.withColumn("_free", free).where(F.col("_free") | ~F.coalesce(tested, F.lit(False)))
+    return kept.drop("_free", "_firm")
 
 
 def estimate(counted: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[int, tuple[int, ...]], float]:
@@ -328,10 +333,10 @@ def find_private(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spans = candidates(docs)
     score = F.when(F.col("base"), 1.0).otherwise(_score(train(spans)))
     chosen = spans.withColumn("score", score).where(F.col("kind").isNull() | (F.col("score") >= threshold))
-    # Of added spans that overlap, the first stays.
-    order = Window.partitionBy("row").orderBy("start", "kind", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(~F.col("base"), F.col("stop"))).over(order)
-    final = chosen.withColumn("_reach", reach).where(F.col("base") | F.col("kind").isNull() | F.expr("coalesce(_reach, 0) <= start"))
+    # Matches of one pattern never overlap; where added spans of two kinds do, the kind named first stays.
+    final = chosen
+    for n in range(1, len(KINDS)):
+        final = _apart(final, F.col("kind") < n, (F.col("kind") == n) & ~F.col("base"))
 
     def listed(which: Column) -> Column:
         spans = F.sort_array(F.collect_list(F.when(which, F.struct("kind", "start", "stop"))))
