@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,11 @@ ERROR_CODES = [
 OTHER_ERROR = "D1_FAILURE"
 
 
+def error_code_of(message: str) -> str:
+    """X13 for one message, without Spark: what an error handler can still do."""
+    return next((code for pattern, code in ERROR_CODES if re.search(pattern, message, re.I)), OTHER_ERROR)
+
+
 def error_code(message) -> Column:
     """Stable code of a store error message."""
     code = F.lit(OTHER_ERROR)

@@ -6,6 +6,8 @@ They work on integers and zone-less days, so results do not depend on
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,27 @@ def minutes_label(minutes) -> Column:
     )
 
 
+#: No clock on Earth has been further from UTC, local mean times of the 19th century included.
+FARTHEST_HOURS = 16
+
+
+def _utc_day(ms: int) -> str:
+    return str((datetime(1970, 1, 1) + timedelta(milliseconds=ms)).date())
+
+
+def first_day(since_ms: int) -> str:
+    """The earliest local date, in any zone, of a moment at or after `since_ms`.
+
+    Beside an exact test on epoch columns it lets Spark leave out day partitions.
+    """
+    return _utc_day(since_ms - FARTHEST_HOURS * 3_600_000)
+
+
+def last_day(until_ms: int) -> str:
+    """The latest local date, in any zone, of a moment at or before `until_ms`."""
+    return _utc_day(until_ms + FARTHEST_HOURS * 3_600_000)
+
+
 def days_before(date_text, days: int) -> Column:
     """The calendar day N days earlier."""
     return F.date_sub(_col(date_text).cast("date"), days).cast("string")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import texts
+from ..functions import texts, times
 
 # Pruned scans (S13, S14): never the raw trigger text.
 FACE_COLUMNS = [
@@ -176,8 +176,9 @@ def events_for_date(faces: DataFrame, date: str, person_name: str | None = None)
 
 
 def events_since(faces: DataFrame, since_ms: int) -> DataFrame:
-    """Faces since a moment, newest first."""
-    found = faces.select(*FACE_COLUMNS).filter(F.col("seen_at_ms") >= since_ms)
+    """Faces since a moment, newest first (S13, F4, K3). Earlier days are not read."""
+    days = F.col("local_date") >= times.first_day(since_ms)
+    found = faces.select(*FACE_COLUMNS).filter(days & (F.col("seen_at_ms") >= since_ms))
     return found.orderBy(F.desc("seen_at_ms"), "event_id")
 
 

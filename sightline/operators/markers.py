@@ -21,6 +21,7 @@ STORE_ERROR = "ops:last_d1_error"
 CRON_ERROR = "ops:last_cron_error"
 
 _CODE_CHARS = 64
+REDACTED = "[redacted]"
 
 
 def report_ok(date: str, at_ms: int) -> list[tuple]:
@@ -63,9 +64,12 @@ def latest_markers(markers: DataFrame) -> DataFrame:
 
 
 def _error_struct(value: str, parsed: str, now_ms: int) -> F.Column:
-    """Typed error marker. Text that is not JSON is an old-style marker; other JSON is none."""
+    """Typed error marker. Text that is not JSON is an old-style marker; other JSON is none.
+
+    The message of an old marker may hold a statement with values, so it is never shown.
+    """
     fields = lj.typed_one(
-        F.col(parsed), {"code": "$.code", "operation": "$.operation", "at_ms": "$.at_ms"}
+        F.col(parsed), {"code": "$.code", "operation": "$.operation", "at_ms": "$.at_ms", "message": "$.message"}
     )
 
     def text(name, default):
@@ -73,15 +77,18 @@ def _error_struct(value: str, parsed: str, now_ms: int) -> F.Column:
 
     kind = F.schema_of_variant(parsed)
     at_ms = F.coalesce(lj.number(fields["at_ms"]).cast("long"), F.lit(now_ms))
+    redacted = F.lit(REDACTED)
     typed = F.struct(
         text("code", "UNKNOWN").alias("code"),
         text("operation", "unknown").alias("operation"),
         at_ms.cast("long").alias("at_ms"),
+        F.when(lj.strict_string(fields["message"]).isNotNull(), redacted).alias("message"),
     )
     legacy = F.struct(
         F.lit("LEGACY").alias("code"),
         F.lit("unknown").alias("operation"),
         F.lit(now_ms).cast("long").alias("at_ms"),
+        redacted.alias("message"),
     )
     return (
         F.when(F.col(value).isNull() | (F.col(value) == ""), None)

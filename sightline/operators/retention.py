@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..params import DAY_MS
 from .upserts import detach
 
@@ -45,14 +46,19 @@ def needs_scrub(table: str, now_ms: int) -> Column:
     """F7 & F8: old enough and not scrubbed yet."""
     time, raw = AGED[table]
     unclean = (F.col(raw) != SCRUBBED) | F.col("image_base64").isNotNull()
-    return (F.col(time) < cutoffs(now_ms)[0]) & unclean
+    return _before(time, cutoffs(now_ms)[0]) & unclean
 
 
 def expires(table: str, now_ms: int) -> Column:
     """rows to drop. Notifications go with the raw cutoff, all others after a year."""
     time, _ = AGED[table]
     raw_cutoff, row_cutoff = cutoffs(now_ms)
-    return F.col(time) < (raw_cutoff if table == "webhook_notifications" else row_cutoff)
+    return _before(time, raw_cutoff if table == "webhook_notifications" else row_cutoff)
+
+
+def _before(time: str, cutoff_ms: int) -> Column:
+    """The exact test, beside the one on days that it implies."""
+    return (F.col("local_date") <= times.last_day(cutoff_ms)) & (F.col(time) < cutoff_ms)
 
 
 def scrubbed(df: DataFrame, table: str, now_ms: int) -> DataFrame:
@@ -72,6 +78,17 @@ def live_state(state: DataFrame, faces: DataFrame) -> DataFrame:
     return state.join(faces.select("local_date").distinct(), "local_date", "left_semi")
 
 
+def day_counts(df: DataFrame, table: str, now_ms: int) -> DataFrame:
+    """Days on which the job changes rows, with how many it drops and scrubs. Later days are not read."""
+    raw = AGED[table][1]
+    tests = {"drop": expires(table, now_ms)}
+    tests["scrub"] = needs_scrub(table, now_ms) if raw else F.lit(False)
+    # Raw text ages faster than rows, so its cutoff bounds the days of both.
+    newest = times.last_day(cutoffs(now_ms)[0 if raw else 1])
+    old = df.filter((F.col("local_date") <= newest) & (tests["drop"] | tests["scrub"]))
+    return old.groupBy("local_date").agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
+
+
 def retention_counts(tables: dict[str, DataFrame], now_ms: int) -> DataFrame:
     """The eight row counts as (`metric`, `rows`), one pass per table.
 
@@ -80,10 +97,9 @@ def retention_counts(tables: dict[str, DataFrame], now_ms: int) -> DataFrame:
     """
     parts = []
     for table, (_, raw) in AGED.items():
-        tests = {"drop": expires(table, now_ms)}
-        if raw:
-            tests["scrub"] = needs_scrub(table, now_ms)
-        counted = tables[table].agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
+        tests = ["drop", "scrub"] if raw else ["drop"]
+        days = day_counts(tables[table], table, now_ms)
+        counted = days.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in tests])
         pairs = [
             F.struct(F.lit(COUNTS[n, table]).alias("metric"), F.col(n).alias("rows"))
             for n in tests

@@ -17,19 +17,19 @@ from .materialize import materialize_date
 REPORT_LAG_MS = 12 * HOUR_MS
 
 
-def _touched_days(tables: Tables, table: str, now_ms: int, expired: DataFrame) -> list[str]:
-    """Days with at least one row that the job changes. Only these are rewritten."""
-    df = tables.read(table)
-    change = retention.expires(table, now_ms)
-    if retention.AGED[table][1]:
-        change = change | retention.needs_scrub(table, now_ms)
-    days = df.filter(change).select("local_date")
-    if table in ("face_events", "vehicle_events"):
-        parents = expired.select(F.col("id").alias("notification_id"))
-        days = days.unionByName(
-            df.join(parents, "notification_id", "left_semi").select("local_date")
-        )
-    return [r.local_date for r in days.distinct().collect()]
+def _aged_days(tables: Tables, table: str, now_ms: int) -> tuple[set[str], dict[str, int]]:
+    """(days with rows to drop or scrub, their numbers by metric), in one pass over old days."""
+    found = retention.day_counts(tables.read(table), table, now_ms).collect()
+    names = {n: metric for (n, t), metric in retention.COUNTS.items() if t == table}
+    return {r.local_date for r in found}, {metric: sum(r[n] for r in found) for n, metric in names.items()}
+
+
+def _orphaned_days(tables: Tables, table: str, expired: DataFrame) -> set[str]:
+    """Days with children of expired parents."""
+    parents = expired.select(F.col("id").alias("notification_id"))
+    children = tables.read(table).filter("notification_id IS NOT NULL").select("notification_id", "local_date")
+    days = children.join(parents, "notification_id", "left_semi").select("local_date").distinct()
+    return {r.local_date for r in days.collect()}
 
 
 def _rewrite(tables: Tables, table: str, rows: DataFrame, days: list[str]) -> None:
@@ -50,12 +50,16 @@ def apply_retention(tables: Tables, now_ms: int) -> dict[str, int]:
     leaves no dangling reference and can be repeated.
     """
     stored = tables.all()
-    counts = {r.metric: r.rows for r in retention.retention_counts(stored, now_ms).collect()}
+    counts = {metric: 0 for metric in retention.COUNTS.values()}
     notes = stored["webhook_notifications"]
     expired = notes.filter(retention.expires("webhook_notifications", now_ms)).select("id")
     order = [t for t in retention.AGED if t != "webhook_notifications"]
     for table in [*order, "webhook_notifications"]:
-        days = _touched_days(tables, table, now_ms, expired)
+        aged, found = _aged_days(tables, table, now_ms)
+        counts |= found
+        if table in ("face_events", "vehicle_events"):
+            aged |= _orphaned_days(tables, table, expired)
+        days = sorted(aged)
         pruned = dict(stored, **{table: tables.only_days(table, days)})
         _rewrite(tables, table, retention.aged_tables(pruned, now_ms)[table], days)
     key_ledger.drop_expired(tables, now_ms)
@@ -70,11 +74,6 @@ def _mark(tables: Tables, rows: list[tuple]) -> None:
     tables.append(tables.spark.createDataFrame(rows, MARKERS), "ops_markers")
 
 
-def _failure_code(tables: Tables, error: Exception) -> str:
-    message = tables.spark.createDataFrame([(str(error),)], "message string")
-    return message.select(texts.error_code("message").alias("code")).first().code
-
-
 def run_daily(tables: Tables, params: JobParams, now_ms: int) -> dict:
     """Forced report of the day 12 hours ago, then retention, then the reference check.
 
@@ -91,7 +90,7 @@ def run_daily(tables: Tables, params: JobParams, now_ms: int) -> dict:
         _mark(tables, markers.report_ok(date, now_ms))
         result["report_ok"] = True
     except Exception as e:  # noqa: BLE001 - the job must go on to the cleanup
-        code = _failure_code(tables, e)
+        code = texts.error_code_of(str(e))
         _mark(tables, markers.cron_error(code, "generateDailyReport", now_ms))
     try:
         result["cleanup"] = apply_retention(tables, now_ms)
@@ -109,6 +108,6 @@ def run_daily(tables: Tables, params: JobParams, now_ms: int) -> dict:
                 markers.cron_error("D1_FK_CHECK_FAILED", "foreign_key_check", now_ms + 1),
             )
     except Exception as e:  # noqa: BLE001
-        code = _failure_code(tables, e)
+        code = texts.error_code_of(str(e))
         _mark(tables, markers.cron_error(code, "runRetentionCleanup", now_ms + 1))
     return result

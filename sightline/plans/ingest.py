@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import times
-from ..operators import late, parse
+from ..functions import texts, times
+from ..operators import late, markers, parse
 from ..operators.upserts import canonical_ids, keep_first, stored_matches
 from ..params import JobParams
+from ..schemas import MARKERS
+from ..session import require_settings
 from ..sources.tables import Tables
 from . import key_ledger
 from .key_ledger import KINDS
@@ -186,7 +191,32 @@ def unstored(tables: Tables, new: DataFrame, kind: str) -> DataFrame:
     return new.join(tables.only_days(table, days).select(key), key, "left_anti")
 
 
-def ingest(raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0") -> list[str]:
+def record_failure(tables: Tables, params: JobParams, error: Exception, now_ms: int) -> None:
+    """One more failed store call on this day, and the marker of the last one.
+
+    Its own errors are swallowed: what failed before is what the caller must see.
+    """
+    with suppress(Exception):
+        code = texts.error_code_of(str(error))
+        tables.append(tables.spark.createDataFrame(markers.store_error(code, "ingestWebhook", now_ms), MARKERS), "ops_markers")
+        day = times.local_date(F.lit(now_ms), params.zone).alias("local_date")
+        failed = F.lit(f"failed-{uuid.uuid4().hex}").alias("batch")
+        one = tables.spark.range(1).select(day, F.lit("d1_failures").alias("field"), F.lit(1).cast("long").alias("value"), failed)
+        tables.append(one, "ops_daily_counters")
+
+
+def ingest(
+    raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0", now_ms: int | None = None
+) -> list[str]:
+    """`ingest_batch`, with failures counted and marked at `now_ms` (else the clock) before they go on."""
+    try:
+        return ingest_batch(raw, tables, params, batch)
+    except Exception as error:
+        record_failure(tables, params, error, int(time.time() * 1000) if now_ms is None else now_ms)
+        raise
+
+
+def ingest_batch(raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0") -> list[str]:
     """Parse a raw batch once, append what is new, and return the days that got new faces.
 
     Whether a key is stored is asked of the key ledger, so a batch reads no history. Safe to
@@ -195,6 +225,7 @@ def ingest(raw: DataFrame, tables: Tables, params: JobParams, batch: str = "0")
     the rows, parents before children and counters last. The counters of the batch are in
     `ops_daily_counters`. The returned list has one short text per calendar day.
     """
+    require_settings(tables.spark)
     with tables.staging():
         lines = late.located(tables.staged(parse.alarm_lines(raw, params), "alarm-lines"))
         mark = fingerprint(lines)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.reports import reports_from_sessions
+from ..operators.reports import reports_for_month, reports_from_sessions
 from ..operators.sessions import presence_sessions
 from ..params import JobParams
 from ..sources.tables import Tables
@@ -139,6 +139,14 @@ def materialize_date(
     return materialize(tables, params, dates, now_ms, force)["regenerated"] > 0
 
 
+def read_month(
+    tables: Tables, params: JobParams, month: str, now_ms: int, person_name: str | None = None
+) -> DataFrame:
+    """C5 as it is asked for: stale days of the month are renewed first, then its reports read."""
+    materialize_month(tables, params, month, now_ms)
+    return reports_for_month(tables.read("daily_person_reports"), month, person_name)
+
+
 def materialize_month(tables: Tables, params: JobParams, month: str, now_ms: int) -> dict[str, int]:
     """The days of a month that have sightings, in one job."""
     faces = tables.read("face_events").filter(F.col("local_date").startswith(month))

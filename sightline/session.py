@@ -17,6 +17,16 @@ SETTINGS = {
 }
 
 
+#: What results depend on: jobs set it where a session was made without `build_session`.
+REQUIRED = {"spark.sql.variant.allowDuplicateKeys": "true"}
+
+
+def require_settings(spark: SparkSession) -> None:
+    for key, value in REQUIRED.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 def build_session(app: str = "sightline", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; `extra` uses `__` for dots in names."""
     builder = SparkSession.builder.appName(app)

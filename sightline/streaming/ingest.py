@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,18 +16,23 @@ from ..plans.materialize import materialize
 from ..sources.tables import Tables
 
 
+def wall_clock() -> int:
+    return int(time.time() * 1000)
+
+
 def ingest_stream(
     raw: DataFrame,
     tables: Tables,
     params: JobParams,
     checkpoint: str,
-    now_ms: int | None = None,
+    now_ms: int | Callable[[], int] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Every micro-batch goes through the batch ingest; keys make it exactly-once.
 
     With `now_ms` the days a batch touched are materialised again (T6): the fingerprint of a
-    day changes with any late sighting, so only those days are renewed.
+    day changes with any late sighting, so only those days are renewed. A fixed number stamps
+    all renewals alike, for runs that repeat; `wall_clock` gives each the time it is made at.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -32,7 +40,7 @@ def ingest_stream(
         days = ingest(batch, tables, params, batch=f"stream-{batch_id}")
         if now_ms is not None and days:
             touched = tables.spark.createDataFrame([(d,) for d in days], "local_date string")
-            materialize(tables, params, touched, now_ms)
+            materialize(tables, params, touched, now_ms() if callable(now_ms) else now_ms)
 
     return (
         raw.writeStream.foreachBatch(handle)

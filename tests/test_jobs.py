@@ -132,6 +132,10 @@ def test_markers_newest_wins_and_deletes(spark):
     assert row.last_cron_error is None and row.last_d1_error.code == "D1_ERROR"
     first = spark.createDataFrame(log[:1], "key string, value string, at_ms long")
     assert markers.read_markers(first, 9).first().last_cron_error.code == "X" * 64
+    old = [(markers.STORE_ERROR, '{"message": "INSERT 1", "code": 7}', 1), (markers.CRON_ERROR, "INSERT 2", 1)]
+    row = markers.read_markers(spark.createDataFrame(old, "key string, value string, at_ms long"), 9).first()
+    assert (row.last_d1_error.message, row.last_cron_error.message) == ("[redacted]", "[redacted]")
+    assert row.last_d1_error.code == "UNKNOWN"
     for rows in ([("k", None, 5), ("k", "b", 5), ("k", "a", 5)], [("k", "b", 5), ("k", "a", 5), ("k", None, 5)]):
         tied = spark.createDataFrame(rows, "key string, value string, at_ms long").repartition(2)
         assert [r.value for r in markers.latest_markers(tied).collect()] == ["b"]
@@ -185,23 +189,29 @@ def test_a_repeated_batch_changes_nothing(spark, tables, monkeypatch):
 
     def failing(df, table):
         if table == "vehicle_events":
-            raise OSError("lost")
+            raise OSError("lost: UNIQUE constraint")
         append(df, table)
 
     monkeypatch.setattr(tables, "append", failing)
     with pytest.raises(OSError):
-        ingest(bodies, tables, PARAMS, "1")
+        ingest(bodies, tables, PARAMS, "1", now_ms=NOW)
     monkeypatch.undo()
+    # The failure is counted and marked.
+    failed = tables.read("ops_daily_counters").filter("field = 'd1_failures'").collect()
+    assert [(r.local_date, r.value) for r in failed] == [("2026-08-03", 1)]
+    row = markers.read_markers(tables.read("ops_markers"), NOW).first()
+    assert row.last_d1_error_at_ms == NOW and row.last_d1_error.operation == "ingestWebhook"
+    assert row.last_d1_error.code == "D1_UNIQUE_CONSTRAINT"
     assert tables.read("face_events").count() == 2 and tables.read("vehicle_events").count() == 0
     assert ingest(bodies, tables, PARAMS, "1") == ["2025-05-11"]
-    first = stored()
+    first = {k: [r for r in v if "d1_failures" not in r] for k, v in stored().items()}
     got = {r.field: r.value for r in batch_counters(tables, "1").collect()}
     assert got == {
         "ingested_webhooks": 2, "rejected_json": 1, "events_attempted": 2, "events_inserted": 2,
         "vehicles_attempted": 1, "vehicles_inserted": 1,
     }
     assert ingest(bodies, tables, PARAMS, "1") == ["2025-05-11"]
-    assert stored() == first
+    assert {k: [r for r in v if "d1_failures" not in r] for k, v in stored().items()} == first
     # Other content under the same name is stored all the same.
     assert ingest(raw(spark, (body("f3", name="C"), t + 9)), tables, PARAMS, "1") == ["2025-05-11"]
     assert tables.read("face_events").count() == 3
@@ -212,7 +222,9 @@ def test_stream_equals_batch_and_renews_days(spark, tables, tmp_path):
     land = str(tmp_path / "land")
     raw(spark, (body("f1"), t), (body("f1"), t + 1)).coalesce(1).write.parquet(land)
     args = (tables, PARAMS, str(tmp_path / "check"))
-    ingest_stream(stream_raw(spark, land), *args, now_ms=NOW).awaitTermination()
+    clock = iter([NOW, NOW + 5])
+    ingest_stream(stream_raw(spark, land), *args, now_ms=lambda: next(clock)).awaitTermination()
+    assert [r.generated_at_ms for r in tables.read("presence_sessions").collect()] == [NOW]
     raw(spark, (body("f2", name="B"), t)).coalesce(1).write.mode("append").parquet(land)
     ingest_stream(stream_raw(spark, land), *args, now_ms=NOW + 1).awaitTermination()
     assert sorted(r.event_id for r in tables.read("face_events").collect()) == ["f1", "f2"]

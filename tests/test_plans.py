@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import feed, registry
+from sightline.functions import times
 from sightline.operators import directory, profiles, reports, sessions, upserts
 from sightline.params import GapRules
 from sightline.sources.tables import Tables
@@ -53,6 +54,29 @@ def test_day_filters_prune_partitions_and_columns(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[.*local_date", text) and "raw_trigger_json" not in text
 
 
+def test_epoch_bounds_prune_days(spark, tmp_path):
+    from sightline.operators import retention
+
+    tables = Tables(spark, str(tmp_path))
+    tables.append(feed.faces(spark, SF), "face_events")
+    faces = tables.read("face_events")
+    since = directory.events_since(faces, feed.NOW - 3_600_000)
+    for df in (since, retention.day_counts(faces, "face_events", feed.RAW_NOW)):
+        text = plan(df)
+        assert re.search(r"PartitionFilters: \[[^\]]*local_date#\w+ [<>]=", text), text
+    assert faces.filter(F.col("local_date") >= times.first_day(feed.NOW - 3_600_000)).count() < faces.count()
+    want = faces.filter(F.col("seen_at_ms") >= feed.NOW - 3_600_000)
+    assert {r.event_id for r in since.collect()} == {r.event_id for r in want.collect()}
+
+
+@pytest.mark.parametrize("zone", ["Pacific/Kiritimati", "Pacific/Niue", "Asia/Manila", "America/New_York", "UTC"])
+def test_local_dates_lie_within_the_implied_days(spark, zone):
+    at = [-5_000_000_000_000, 0, 1_711_846_799_999, 1_711_846_800_000, 1_720_000_000_000]
+    rows = spark.createDataFrame([(m,) for m in at], "ms long").select("ms", times.local_date("ms", zone).alias("d"))
+    for r in rows.collect():
+        assert times.first_day(r.ms) <= r.d <= times.last_day(r.ms)
+
+
 def test_small_gap_overrides_shuffle_no_sighting(spark):
     faces = feed.faces(spark, SF)
     text = plan(sessions.gap_sessions(faces, feed.GAPS_240))
