@@ -687,14 +687,15 @@ def _(spark, sf):
 
 
 def _closed_sql(rules, columns, delay_ms):
-    """W1's sessions over all days that no further sighting can join."""
+    """W1's sessions over all days that no further sighting can join: the next one has begun, or time is up."""
     entity = " ".join(f"WHEN '{k}' THEN {v * 60000}" for k, v in rules.by_entity.items())
     camera = " ".join(f"WHEN '{k}' THEN {max(v * 60000, rules.default_ms)}" for k, v in rules.by_camera.items())
     gap = f"coalesce(CASE person_key {entity} END, CASE last_camera_id {camera} END, {rules.default_ms})"
     return (
         with_(FACES, sql_sessions("live", "faces", "person_key", "", rules))
-        + f"""SELECT person_key, {columns} FROM live
-WHERE ended_at_ms + {gap} <= (SELECT max(seen_at_ms) FROM faces) - {delay_ms}"""
+        + f"""SELECT person_key, {columns} FROM (
+  SELECT *, lead(started_at_ms) OVER (PARTITION BY person_key ORDER BY started_at_ms) AS next_ms FROM live)
+WHERE least(ended_at_ms + {gap}, next_ms) <= (SELECT max(seen_at_ms) FROM faces) - {delay_ms}"""
     )
 
 

@@ -240,6 +240,31 @@ def _(spark, sf):
     return mat.freshness(faces.select("local_date"), faces, _state(spark, sf))
 
 
+def _with_facts(spark, sf):
+    """All tables stored with their day facts: counted once, then a late batch, told twice."""
+    from sightline.plans import facts
+    from sightline.sources.tables import Tables
+
+    tables = Tables(spark, feed.scratch(spark, "facts"))
+    late = F.crc32("event_id") % 5 == 0
+    for name, rows in _all_tables(spark, sf).items():
+        if name in facts.TIMES:
+            tables.append(rows.filter(~late) if name == "face_events" else rows, name)
+    facts.ensure(tables)
+    more = tables.staged(feed.faces(spark, sf).filter(late), "late")
+    tables.append(more, "face_events")
+    for _ in range(2):
+        facts.add(tables, {"face_events": more}, "late")
+    return tables, facts
+
+
+@query("J9_kept_freshness", WF + FRESH_SQL)
+def _(spark, sf):
+    tables, facts = _with_facts(spark, sf)
+    days = facts.source_facts(facts.kept(tables))
+    return mat.freshness(days, None, _state(spark, sf), days)
+
+
 # Aggregates
 def _people_sql(where):
     return (
@@ -455,6 +480,12 @@ def _(spark, sf):
     )
 
 
+@query("A20_kept_health_facts", WALL + "SELECT " + FACTS)
+def _(spark, sf):
+    tables, facts = _with_facts(spark, sf)
+    return facts.health_facts(tables, facts.kept(tables), NOW)
+
+
 @query(
     "A21_daily_person_reports",
     WR + f"SELECT {REPORT_COLUMNS}, CAST(0 AS BIGINT) AS generated_at_ms FROM reports",

@@ -65,9 +65,11 @@ def detach(children: DataFrame, expired: DataFrame) -> DataFrame:
     """Set `notification_id` to null where the parent is among the expired ones.
 
     The expired ids are unique, so the join adds no rows; AQE broadcasts them when they turn
-    out small and splits a skewed parent id otherwise.
+    out small and splits a skewed parent id otherwise. Rows without a parent, which may be
+    most of an old table, are dealt out by their own id instead of meeting in one task.
     """
     gone = expired.select(F.col("id").alias("_gone")).distinct()
-    joined = children.join(gone, children["notification_id"] == gone["_gone"], "left")
+    parent = F.coalesce("notification_id", F.concat(F.lit("\0"), "id"))
+    joined = children.withColumn("_parent", parent).join(gone, F.col("_parent") == gone["_gone"], "left")
     kept = F.when(F.col("_gone").isNull(), F.col("notification_id"))
     return joined.withColumn("notification_id", kept).select(*children.columns)

@@ -11,7 +11,7 @@ from ..operators.upserts import orphans
 from ..params import HOUR_MS, JobParams
 from ..schemas import MARKERS
 from ..sources.tables import Tables
-from . import key_ledger
+from . import facts, key_ledger
 from .materialize import materialize_date
 
 REPORT_LAG_MS = 12 * HOUR_MS
@@ -50,6 +50,7 @@ def apply_retention(tables: Tables, now_ms: int) -> dict[str, int]:
     leaves no dangling reference and can be repeated.
     """
     stored = tables.all()
+    kept = facts.kept(tables) is not None
     counts = {metric: 0 for metric in retention.COUNTS.values()}
     notes = stored["webhook_notifications"]
     expired = notes.filter(retention.expires("webhook_notifications", now_ms)).select("id")
@@ -62,6 +63,8 @@ def apply_retention(tables: Tables, now_ms: int) -> dict[str, int]:
         days = sorted(aged)
         pruned = dict(stored, **{table: tables.only_days(table, days)})
         _rewrite(tables, table, retention.aged_tables(pruned, now_ms)[table], days)
+        if kept and days:
+            facts.recount(tables, table, days)
     key_ledger.drop_expired(tables, now_ms)
     state = tables.read("materialization_state")
     faces = tables.read("face_events").select("local_date").distinct()

@@ -18,7 +18,7 @@ from ..params import JobParams
 from ..schemas import MARKERS
 from ..session import require_settings
 from ..sources.tables import Tables
-from . import key_ledger
+from . import facts, key_ledger
 from .key_ledger import KINDS
 
 NOTE_ORDER = ["received_at_ms", "id"]
@@ -232,7 +232,8 @@ def ingest_batch(raw: DataFrame, tables: Tables, params: JobParams, batch: str =
         name = hashlib.md5(f"{batch}\n{mark}".encode()).hexdigest()
         repeated = not record_of(tables, batch, mark).isEmpty()
         key_ledger.ensure(tables)
-        key_ledger.recover(tables, name)
+        lost = key_ledger.recover(tables, name)
+        facts.ensure(tables)
         keys = keyed_lines(lines).select("kind", "key").distinct()
         known = tables.staged(key_ledger.known(tables, keys, name), "known-keys")
         chosen = tables.staged(choose(lines, known), "chosen-lines")
@@ -246,6 +247,13 @@ def ingest_batch(raw: DataFrame, tables: Tables, params: JobParams, batch: str =
         for kind, (table, _, _) in KINDS.items():
             tables.append(unstored(tables, new[kind], kind) if repeated else new[kind], table)
         key_ledger.commit(tables, files, name)
+        stored = {table: new[kind] for kind, (table, _, _) in KINDS.items()}
+        if not (repeated or lost):
+            facts.add(tables, stored, name)
+        for table, rows in stored.items() if repeated or lost else ():
+            # An unfinished batch may have stored rows on any day.
+            found = rows.select("local_date").distinct().collect() if not lost else None
+            facts.recount(tables, table, found and [r.local_date for r in found])
         tables.replace_days(planned["rejects"].withColumn("batch", F.lit(batch)), "rejected_alarms")
         counts = counter_rows(lines, added)
         tables.replace_days(counts.withColumn("batch", F.lit(batch)), "ops_daily_counters")

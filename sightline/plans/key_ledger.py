@@ -100,10 +100,11 @@ def commit(tables: Tables, files: list[tuple], part: str) -> None:
     tables.clear("ledger_open", [f"part={part}"])
 
 
-def recover(tables: Tables, part: str) -> None:
-    """List what is stored of the batches that were never finished, but for the one named `part`."""
+def recover(tables: Tables, part: str) -> list[str]:
+    """List what is stored of the batches that were never finished, but for the one named `part`; returns their names."""
     open_parts = tables.read("ledger_open").filter(F.col("part") != part).select("part").distinct()
-    for name in [r.part for r in open_parts.collect()]:
+    names = [r.part for r in open_parts.collect()]
+    for name in names:
         with tables.staging():
             rows = tables.only_where("key_ledger", F.col("part") == name).drop("part")
             found = []
@@ -114,6 +115,7 @@ def recover(tables: Tables, part: str) -> None:
             tables.clear("key_ledger", [f"part={name}"])
             tables.clear("key_filters", [f"part={name}"])
             commit(tables, _write_part(tables, kept, name), name)
+    return names
 
 
 def ensure(tables: Tables) -> None:

@@ -9,6 +9,7 @@ from ..operators.reports import reports_for_month, reports_from_sessions
 from ..operators.sessions import presence_sessions
 from ..params import JobParams
 from ..sources.tables import Tables
+from . import facts
 
 MATERIALIZER_VERSION = 2
 
@@ -29,12 +30,14 @@ def date_facts(faces: DataFrame, date: str) -> DataFrame:
     )
 
 
-def freshness(wanted: DataFrame, faces: DataFrame, state: DataFrame) -> DataFrame:
+def freshness(
+    wanted: DataFrame, faces: DataFrame | None, state: DataFrame, counted: DataFrame | None = None
+) -> DataFrame:
     """Facts of the wanted days (`local_date`) and whether the stored state matches them.
 
-    All three sides have one row per day, so the joins are tiny whatever the number of rows.
+    With `counted`, kept facts of the days, no sighting is read. All three sides have one row per day, so the joins are tiny whatever the number of rows.
     """
-    facts = source_facts(faces)
+    counted = source_facts(faces) if counted is None else counted
     stored = state.select(
         "local_date",
         F.col("source_event_count").alias("_count"),
@@ -45,7 +48,7 @@ def freshness(wanted: DataFrame, faces: DataFrame, state: DataFrame) -> DataFram
     return (
         wanted.select("local_date")
         .distinct()
-        .join(facts, "local_date", "left")
+        .join(counted, "local_date", "left")
         .join(stored, "local_date", "left")
         .select(
             "local_date",
@@ -69,9 +72,9 @@ def freshness(wanted: DataFrame, faces: DataFrame, state: DataFrame) -> DataFram
     )
 
 
-def state_rows(facts: DataFrame, generated_at_ms: int) -> DataFrame:
+def state_rows(source: DataFrame, generated_at_ms: int) -> DataFrame:
     """The state to store for materialised days."""
-    return facts.select(
+    return source.select(
         "local_date",
         "source_event_count",
         "max_seen_at_ms",
@@ -98,11 +101,14 @@ def _renew(tables: Tables, params: JobParams, due: list, now_ms: int) -> None:
     written = tables.only_days("presence_sessions", days)
     tables.replace_days(reports_from_sessions(written, now_ms), "daily_person_reports")
     tables.clear_days("daily_person_reports", emptied)
+    if facts.kept(tables) is not None:
+        facts.recount(tables, "presence_sessions", days)
+        facts.recount(tables, "daily_person_reports", days)
     spark = tables.spark
-    facts = spark.createDataFrame(
+    source = spark.createDataFrame(
         due, "local_date string, source_event_count long, max_seen_at_ms long, is_fresh boolean"
     )
-    tables.replace_days(state_rows(facts, now_ms), "materialization_state")
+    tables.replace_days(state_rows(source, now_ms), "materialization_state")
 
 
 def materialize(
@@ -120,10 +126,12 @@ def materialize(
     if not wanted:
         return {"checked": 0, "regenerated": 0}
     listed = tables.spark.createDataFrame([(d,) for d in wanted], "local_date string")
+    kept = facts.kept(tables)
     checked = freshness(
         listed,
         tables.only_days("face_events", wanted),
         tables.only_days("materialization_state", wanted),
+        None if kept is None else facts.source_facts(kept),
     ).collect()
     due = [r for r in checked if force or not r.is_fresh]
     if due:
@@ -149,5 +157,6 @@ def read_month(
 
 def materialize_month(tables: Tables, params: JobParams, month: str, now_ms: int) -> dict[str, int]:
     """The days of a month that have sightings, in one job."""
-    faces = tables.read("face_events").filter(F.col("local_date").startswith(month))
-    return materialize(tables, params, faces.select("local_date"), now_ms)
+    kept = facts.kept(tables)
+    days = tables.read("face_events") if kept is None else facts.source_facts(kept)
+    return materialize(tables, params, days.filter(F.col("local_date").startswith(month)), now_ms)

@@ -85,6 +85,9 @@ FILTERS = _schema("block long, bits long, bucket int, part string")
 LEDGER_FILES = _schema("bucket int, keys long, blocks long, part string")
 LEDGER_OPEN = _schema("bucket int, part string")
 
+# Rows and newest time of each table and day, by the batch that added them.
+DAY_FACTS = _schema("rows long, max_ms long, batch string, table string, local_date string")
+
 TABLES = {
     "webhook_notifications": NOTIFICATIONS,
     "face_events": FACES,
@@ -100,6 +103,7 @@ TABLES = {
     "key_filters": FILTERS,
     "ledger_files": LEDGER_FILES,
     "ledger_open": LEDGER_OPEN,
+    "day_facts": DAY_FACTS,
 }
 
 # Every table but the markers is laid out by day, so day and month filters prune files.
@@ -107,6 +111,7 @@ PARTITIONS = {name: ["local_date"] for name in TABLES if name != "ops_markers"}
 # What a repeated batch writes again is found by its name.
 PARTITIONS["ops_daily_counters"] = PARTITIONS["rejected_alarms"] = ["local_date", "batch"]
 PARTITIONS["ingest_batches"] = ["batch"]
+PARTITIONS["day_facts"] = ["table", "local_date"]
 PARTITIONS["key_ledger"] = PARTITIONS["key_filters"] = ["part", "bucket"]
 PARTITIONS["ledger_files"] = PARTITIONS["ledger_open"] = ["part"]
 
