@@ -50,7 +50,7 @@ LOOSE = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
     r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:(?:\+|00)[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\+|00)[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 _PART = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _IP = rf"^0*{_PART}\.0*{_PART}\.0*{_PART}\.0*{_PART}$"
@@ -96,7 +96,7 @@ def _valid(kind: str) -> Column:
     if kind == "card":
         return F.expr(f"if(length(digits) between 13 and 19, {_luhn('digits')}, false)")
     # Groups of digits alone are any numbers: something must say that this is one to call.
-    said = F.col("found").rlike(r"^(?:\+|00)") | F.col("found").contains("(") | F.lower("tail").rlike(_FOR["phone"])
+    said = F.col("found").rlike(r"^(?:\+|00)[1-9]") | F.col("found").contains("(") | F.lower("tail").rlike(_FOR["phone"])
     return F.length("digits").between(9, 15) & said
 
 
