@@ -303,7 +303,7 @@ def encode(text: Column, path: str | None = None) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             found = tokenizer(path).encoded(_texts(batch))
-            yield pd.Series([np.array(ids.split(",") if ids else [], np.int32) for ids, _ in found], dtype=object)
+            yield pd.Series([np.fromstring(ids, np.int32, sep=",") for ids, _ in found], dtype=object)
 
     return run(text)
 
