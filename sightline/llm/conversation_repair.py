@@ -227,7 +227,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def _fault(again: Column) -> Column:
-    body = F.expr(f"rtrim('{_WHITE.encode('unicode_escape').decode()}', text)")
+    body = F.rtrim("text", F.lit(_WHITE))
     ended = F.substring(body, -1, 1).isin(".", "!", "?")
     return (
         F.when(F.col("role").isNull(), "gone")

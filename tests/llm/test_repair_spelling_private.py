@@ -96,6 +96,16 @@ def test_repair_of_odd_rows(spark):
     assert cr.repair_damaged(df.limit(0)).count() == 0
 
 
+def test_faults_know_white_space_from_letters(spark):
+    texts = ["end. 0", "xb", "c", "\x0b\x0c", "done.\x0c\x0b", "abc.", "ok! x", "a.\x1f", "b?\u2028", "\r\n\t "]
+    rows = [(i, 0, "user", t, 0) for i, t in enumerate(texts)]
+    found = cr.repair(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, copy int")).collect()
+    body = [t.rstrip(" \t\n\x0b\x0c\r") for t in texts]
+    assert {r.conv_id: (r.blank, r.truncated) for r in found} == {
+        i: (int(not b), int(bool(b) and b[-1] not in ".!?")) for i, b in enumerate(body)
+    }
+
+
 def test_one_giant_conversation(spark):
     rows = spark.range(30_000).selectExpr(
         "7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id, '.') as text", "0 as copy"
