@@ -3,12 +3,15 @@
 Texts become words (lower case, without punctuation at the ends). A text's k-mers are its runs of five
 words, each with the number of equal ones before it. For each of SKETCHES hash functions the two k-mers
 with the smallest hashes are kept in the order in which they stand in the text; the pair is a bucket.
-Texts that meet in a bucket are linked to the next and to the first of it, not pairwise, and links are
-verified: two texts are near duplicates if their words align within a band with a similarity
-`1 - distance / longer length` of at least SIMILARITY. Groups are connected components of such links.
+Texts that meet in a bucket are verified: two are near duplicates if their words align within a band with
+a similarity `1 - distance / longer length` of at least SIMILARITY. Groups are connected components of such links.
 
-Equal texts are one node. A batch of a map task links the texts of one bucket among themselves and sends
-only the first on, so a bucket gets at most one text per batch, however large its group is.
+Equal texts are one node. First each text is linked to the next and to the first of its bucket: a batch of
+a map task links the texts of one bucket among themselves and sends only the first on. That finds most
+groups without naming all pairs. Then every pair of a bucket whose texts are not in one group yet is
+compared, so that the groups are those of all pairs that meet; pairs inside a group would not change it.
+Large buckets are dealt in blocks of BLOCK texts over the tasks, and counts of words by hash tell most
+pairs apart before their texts are fetched: no alignment can make up for what these counts lack.
 
 A pair whose five-word runs have Jaccard similarity j meets with probability 1 - (1 - j²)^SKETCHES.
 
@@ -34,7 +37,13 @@ from .components import components
 from .words import WordHashes, mixed, occurrences, odd_numbers, shingles
 
 KMER, SKETCHES, SIMILARITY = 5, 24, 0.8
+#: Texts of one bucket that are compared at once with each other, or with as many others.
+BLOCK = 1000
+#: Kinds of words that `tally` tells apart.
+BINS = 64
 _ODD = odd_numbers(SKETCHES, 5)
+_SKETCH = "node binary, n int, sketch array<long>, tally binary"
+_PAIR = "a binary, b binary"
 _LINK = "bucket long, node binary, n int, other binary, m int"
 
 
@@ -55,24 +64,37 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return mixed(early * np.uint64(3) + mixed(late) + _ODD).astype(np.int64)
 
 
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket rows of a batch's distinct texts; texts that meet within the batch come as links."""
+def tally(words: np.ndarray) -> bytes:
+    """How many words fall in each of BINS by their hash, 255 at most."""
+    return np.minimum(np.bincount((words >> np.uint64(40)) % np.uint64(BINS), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length, buckets and tally of a batch's distinct texts that have words."""
     hashes = WordHashes()
     for batch in batches:
-        nodes, sizes, sketches, seen = [], [], [], set()
+        rows, seen = [], set()
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
             if node not in seen:
                 seen.add(node)
                 words = hashes.of(text.as_py())
                 if len(words):
-                    nodes.append(node)
-                    sizes.append(len(words))
-                    sketches.append(sketch(words))
+                    rows.append((node, len(words), sketch(words), tally(words)))
+        if rows:
+            kinds = (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sketch", "tally"])
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket rows of a batch's sketches; texts that meet within the batch come as links."""
+    for batch in batches:
+        nodes = batch.column("node").to_pylist()
         if not nodes:
             continue
         place = np.repeat(np.arange(len(nodes)), SKETCHES)
-        n = np.array(sizes, np.int32)
-        bucket = np.concatenate(sketches)
+        n = batch.column("n").to_numpy()
+        bucket = batch.column("sketch").flatten().to_numpy()
         order = np.lexsort((place, n[place], bucket))
         bucket, place = bucket[order], place[order]
         first = np.ones(len(bucket), bool)
@@ -151,9 +173,9 @@ def aligned(left: Column, right: Column) -> Column:
     return run(left, right)
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """nodes (node, text) → a, b: pairs to verify, a < b; a bucket's members with the next and the first one."""
-    met = nodes.mapInArrow(buckets, _LINK)
+def candidate_links(sketched: DataFrame) -> DataFrame:
+    """sketched → a, b: pairs to verify first, a < b; a bucket's members with the next and the first one."""
+    met = sketched.select("node", "n", "sketch").mapInArrow(buckets, _LINK)
     met = met.withColumn("linked", F.col("other").isNotNull())
     order = Window.partitionBy("linked", "bucket").orderBy("n", "node")
     met = met.withColumn("member", F.struct("node", "n"))
@@ -165,21 +187,113 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
+def _alike(left: np.ndarray, right: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """Whether tallies leave room for SIMILARITY: an inserted or deleted word changes them by one, a replaced by two."""
+    apart = np.abs(left.astype(np.int16) - right).sum(axis=1)
+    return apart <= 2 * np.floor(longer * (1 - SIMILARITY) + 1e-6)
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, low, high), two blocks of a bucket or one → pairs of different classes that may be near."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        keys = [rows.column(c).to_numpy() for c in ("bucket", "low", "high")]
+        n, kind, block = (rows.column(c).to_numpy() for c in ("n", "class", "block"))
+        order = np.lexsort((n, *reversed(keys)))
+        n, kind, block = n[order], kind[order], block[order]
+        bucket, low, high = (k[order] for k in keys)
+        nodes = rows.column("node").combine_chunks().take(pa.array(order))
+        tallies = np.frombuffer(b"".join(rows.column("tally").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        first = np.ones(len(n), bool)
+        first[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        starts = np.append(np.flatnonzero(first), len(n))
+        end = np.repeat(starts[1:], np.diff(starts))
+        found, active, step = [], np.arange(len(n)), 0
+        while len(active):
+            step += 1
+            active = active[active + step < end[active]]
+            # by length, so those further on are too long as well
+            active = active[n[active] >= n[active + step] * SIMILARITY - 1e-6]
+            x, y = active, active + step
+            some = (kind[x] != kind[y]) & ((low[x] == high[x]) | (block[x] != block[y]))
+            x, y = x[some], y[some]
+            some = _alike(tallies[x], tallies[y], n[y])
+            found.append(np.stack([x[some], y[some]]))
+        x, y = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["a", "b"])
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        if not len(rows):
+            continue
+        # the last group may go on in the next batch
+        same = np.logical_and.reduce([(c := rows.column(k).to_numpy()) == c[-1] for k in ("bucket", "low", "high")])
+        begun = len(rows) - int(same.sum())
+        if begun:
+            yield pairs(rows.slice(0, begun))
+        rest = rows.slice(begun)
+    if rest is not None:
+        yield pairs(rest)
+
+
+def other_links(sketched: DataFrame, classes: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, b: pairs to verify besides `done`, a < b; all members of a bucket whose classes differ.
+
+    A bucket's largest class is not compared with itself: its blocks meet those of the others only.
+    """
+    members = sketched.dropDuplicates(["node"]).join(classes, "node").select("node", "n", "class", "tally", "sketch")
+    members = staged(members, "members")
+    met = members.select("class", F.explode("sketch").alias("bucket")).groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    shared = met.groupBy("bucket").agg(
+        F.max(F.struct("size", "class")).alias("most"), F.sum("size").alias("size"), F.count("*").alias("classes")
+    )
+    # two members of a bucket have met in any case
+    shared = staged(shared.where("classes > 1 and size > 2"), "buckets")
+    parts = lambda size: F.ceil(size / block).cast("int")
+    large = F.col("size") > block
+    rows = members.select("node", "n", "class", "tally", F.explode("sketch").alias("bucket")).join(shared, "bucket")
+    rows = rows.withColumn("others", F.when(large, parts(F.col("size") - F.col("most.size"))).otherwise(1))
+    rows = rows.withColumn("own", F.when(large, parts(F.col("most.size"))).otherwise(0))
+    main, at = large & (F.col("class") == F.col("most.class")), F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(main, F.col("others") + F.pmod(at, "own")).otherwise(F.pmod(at, "others")).cast("int"))
+    last = F.when(main, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    low, high = F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")
+    rows = rows.select("bucket", low, high, "block", "class", "node", "n", "tally")
+    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    pairs = rows.mapInArrow(compared, _PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.distinct().join(done, ["a", "b"], "left_anti")
+
+
+def verified_links(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of nodes → u, v: the classes of those that are near duplicates."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = ends.join(classes, "node").select("node", "class", F.col("first").alias("row"))
+    texts = rows.select("row", "text").join(wanted, "row").select("node", "class", "text")
+    left = texts.select(F.col("node").alias("a"), F.col("class").alias("u"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("class").alias("v"), F.col("text").alias("right"))
+    held = pairs.join(left, "a").join(right, "b").select("u", "v", aligned(F.col("left"), F.col("right")).alias("similarity"))
+    return held.where(F.col("similarity") >= SIMILARITY).select("u", "v")
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, first, class) with those that links connect made one."""
+    roots = components(links).select(F.col("node").alias("class"), "root")
+    return classes.join(roots, "class", "left").select("node", "first", F.coalesce("root", "class").alias("class"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """docs (row, doc_id, text) → row, doc_id, class_id, group_size, kept; a row for each document."""
     node = F.expr("substring(unhex(sha2(coalesce(text, ''), 256)), 1, 16)")
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), "text")
-    firsts = rows.groupBy("node").agg(F.min("row").alias("first"))
-    pairs = staged(candidate_links(rows.select("node", "text")), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(firsts, "node").select("node", F.col("first").alias("row"))
-    texts = rows.select("row", "text").join(wanted, "row").select("node", "row", "text")
-    left = texts.select(F.col("node").alias("a"), F.col("row").alias("u"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("row").alias("v"), F.col("text").alias("right"))
-    held = pairs.join(left, "a").join(right, "b").select("u", "v", aligned(F.col("left"), F.col("right")).alias("similarity"))
-    roots = components(held.where(F.col("similarity") >= SIMILARITY).select("u", "v"))
-    roots = roots.select(F.col("node").alias("first"), "root")
-    classes = firsts.join(roots, "first", "left").select("node", F.coalesce("root", "first").alias("class"))
+    alone = staged(rows.groupBy("node").agg(F.min("row").alias("first")).withColumn("class", F.col("first")), "classes")
+    sketched = staged(rows.select("node", "text").mapInArrow(sketches, _SKETCH), "sketches")
+    pairs = staged(candidate_links(sketched), "pairs")
+    classes = staged(joined_classes(alone, verified_links(pairs, rows, alone)), "classes")
+    others = staged(other_links(sketched, classes, pairs), "pairs")
+    classes = joined_classes(classes, verified_links(others, rows, classes)).select("node", "class")
     members = rows.select("row", "doc_id", "node").join(classes, "node").select("row", "doc_id", "class")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     heads = members.groupBy("class").agg(F.min(place).alias("head"), F.count("*").alias("group_size"))

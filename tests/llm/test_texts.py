@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -14,6 +15,8 @@ from hypothesis import strategies as st
 from sightline.llm import elias_fano, exact_dedup, lm_scoring, near_dedup, substring_dedup
 from sightline.llm.words import WordHashes, shingles
 
+from .conftest import words
+
 
 def plain(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
@@ -107,6 +110,36 @@ def test_near_groups_lose_no_link(spark):
                 assert got[a] == got[b], (a, b)
 
 
+def test_near_groups_are_those_of_all_pairs_in_a_bucket(spark):
+    rng = random.Random(8)
+    shared, docs = words(rng, 30).split(), []
+    for i in range(40):
+        tail = words(rng, 40, 10**6).split()
+        # near copies that share no run of five words but those of the common passage
+        docs += [" ".join(shared + tail), " ".join(shared + [f"x{i}" if j % 5 == 2 else w for j, w in enumerate(tail)])]
+    hashes, met = WordHashes(), collections.defaultdict(set)
+    coded = [hashes.of(d) for d in docs]
+    for i, c in enumerate(coded):
+        for bucket in near_dedup.sketch(c):
+            met[bucket].add(i)
+    near = {frozenset((i, i + 1)) for m in met.values() for i in m if i % 2 == 0 and i + 1 in m}
+    assert len(near) > 15 and max(map(len, met.values())) > 5
+    want = [i - 1 if frozenset((i - 1, i)) in near else i for i in range(80)]
+    rows = spark.createDataFrame([*enumerate(docs)], "doc_id int, text string").repartition(3)
+    for size in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {g.doc_id: g.class_id for g in near_dedup.label_near_duplicates(rows).collect()}
+        assert [got[i] for i in range(80)] == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    coded = [(bytes([i]), len(c), near_dedup.sketch(c).tolist(), near_dedup.tally(c)) for i, c in enumerate(coded)]
+    sketched = spark.createDataFrame(coded, near_dedup._SKETCH)
+    classes = [(bytes([i]), i, 0 if i < 20 else i) for i in range(80)]
+    classes = spark.createDataFrame(classes, "node binary, first long, class long")
+    none = spark.createDataFrame([], near_dedup._PAIR)
+    found = [sorted(map(tuple, near_dedup.other_links(sketched, classes, none, block).collect())) for block in (1, 3, 1000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 5
+
+
 def test_compact_windows_cover_every_passage_once():
     rng = np.random.default_rng(1)
     runs = rng.integers(0, 40, 90).astype(np.uint64)
