@@ -40,7 +40,9 @@ KMER, SKETCHES, SIMILARITY = 5, 24, 0.8
 #: Texts of one bucket that are compared at once with each other, or with as many others.
 BLOCK = 1000
 #: Kinds of words that `tally` tells apart.
-BINS = 64
+BINS = 256
+#: Changed words up to which the band grows step by step.
+BAND = 24
 _ODD = odd_numbers(SKETCHES, 5)
 _SKETCH = "node binary, n int, sketch array<long>, tally binary"
 _PAIR = "a binary, b binary"
@@ -118,8 +120,11 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def within(a: list[int], b: list[int], most: int) -> int | None:
-    """Edit distance of two word lists if it is at most `most`: furthest points on the diagonals of a growing band."""
+def within(a: list[int], b: list[int], most: int, band: int = BAND) -> int | None:
+    """Edit distance of two word lists if it is at most `most`.
+
+    Furthest points on the diagonals of a growing band; beyond `band` changes, whole columns as bits of a number.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
@@ -129,7 +134,7 @@ def within(a: list[int], b: list[int], most: int) -> int | None:
     if n == m == start:
         return 0
     far = {0: start}
-    for distance in range(1, most + 1):
+    for distance in range(1, min(most, band) + 1):
         new = {}
         for k in range(-distance, distance + 1):
             x = max(far.get(k, -2) + 1, far.get(k - 1, -2) + 1, far.get(k + 1, -2))
@@ -145,7 +150,29 @@ def within(a: list[int], b: list[int], most: int) -> int | None:
                 return distance
             new[k] = x
         far = new
-    return None
+    return _by_columns(a[start:], b[start:], most) if most > band else None
+
+
+def _by_columns(a: list[int], b: list[int], most: int) -> int | None:
+    """Edit distance if at most `most`: bit i of `up` and `down` says how a column of the table goes on at word i of a."""
+    if not a or not b:
+        distance = max(len(a), len(b))
+        return distance if distance <= most else None
+    places: dict[int, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance, left = every, 0, len(a), len(b)
+    for word in b:
+        equal, left = places.get(word, 0), left - 1
+        level = (((equal & up) + up) ^ up) | equal
+        right, back = (down | ~(level | up)) & every, up & level
+        distance += 1 if right & last else -1 if back & last else 0
+        if distance - left > most:
+            return None
+        right, equal = right << 1 | 1, equal | down
+        up, down = (back << 1 | ~(equal | right)) & every, right & equal & every
+    return distance
 
 
 def similarity(a: list[int], b: list[int], least: float = SIMILARITY) -> float:
@@ -162,13 +189,27 @@ def similarity(a: list[int], b: list[int], least: float = SIMILARITY) -> float:
 
 
 def aligned(left: Column, right: Column) -> Column:
-    """Similarity of two texts."""
+    """Similarity of two texts, or 0 if that is below SIMILARITY."""
 
     @F.pandas_udf("double")
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         hashes = WordHashes()
         for some, others in pairs:
-            yield pd.Series([similarity(hashes.of(a).tolist(), hashes.of(b).tolist()) for a, b in zip(some, others)])
+            known: dict[str, tuple[list[int], set[int]]] = {}
+
+            def counted(text: str) -> tuple[list[int], set[int]]:
+                """Words, and the same as a set in which repeated words differ."""
+                if text not in known:
+                    words = hashes.of(text)
+                    known[text] = words.tolist(), set(mixed(words + occurrences(words)).tolist())
+                return known[text]
+
+            out = []
+            for one, other in zip(some, others):
+                (a, x), (b, y) = counted(one), counted(other)
+                longer = max(len(a), len(b))
+                out.append(similarity(a, b) if len(x & y) >= longer * SIMILARITY - 1e-6 else 0.0)
+            yield pd.Series(out)
 
     return run(left, right)
 

@@ -84,6 +84,13 @@ def test_banded_distance(a, b, most):
     assert near_dedup.within(a, b, most) == (want if want <= most else None)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 14), st.integers(0, 3))
+def test_distance_beyond_the_band(a, b, most, band):
+    want = levenshtein(a, b)
+    assert near_dedup.within(a, b, most, band) == (want if want <= most else None)
+
+
 def test_near_groups_on_odd_rows(odd, empty):
     got = near_dedup.label_near_duplicates(odd).collect()
     assert len(got) == odd.count()
