@@ -11,7 +11,8 @@ a map task links the texts of one bucket among themselves and sends only the fir
 groups without naming all pairs. Then every pair of a bucket whose texts are not in one group yet is
 compared, so that the groups are those of all pairs that meet; pairs inside a group would not change it.
 Large buckets are dealt in blocks of BLOCK texts over the tasks, and counts of words by hash tell most
-pairs apart before their texts are fetched: no alignment can make up for what these counts lack.
+pairs apart before their texts are fetched: no alignment can make up for what these counts lack. This is quadratic
+where many unlike texts share a bucket.
 
 A pair whose five-word runs have Jaccard similarity j meets with probability 1 - (1 - j²)^SKETCHES.
 
