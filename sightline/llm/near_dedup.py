@@ -10,9 +10,11 @@ Equal texts are one node. First each text is linked to the next and to the first
 a map task links the texts of one bucket among themselves and sends only the first on. That finds most
 groups without naming all pairs. Then every pair of a bucket whose texts are not in one group yet is
 compared, so that the groups are those of all pairs that meet; pairs inside a group would not change it.
-Large buckets are dealt in blocks of BLOCK texts over the tasks, and counts of words by hash tell most
-pairs apart before their texts are fetched: no alignment can make up for what these counts lack. This is quadratic
-where many unlike texts share a bucket.
+Large buckets are dealt in blocks of BLOCK texts over the tasks. Pairs are told apart where their block is, by
+counts of words, then by the words they share: no alignment can make up for what these lack. Those left are aligned
+there, in one of the buckets they share only, and no more once their classes are linked in the block. So a block gives
+fewer links than it has texts, and no pair leaves it but these. Comparing is quadratic where many unlike texts
+share a bucket; rows are not.
 
 A pair whose five-word runs have Jaccard similarity j meets with probability 1 - (1 - j²)^SKETCHES.
 
@@ -25,7 +27,7 @@ columns are not read, and the stage keeps them.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,8 +42,10 @@ from .words import WordHashes, mixed, occurrences, odd_numbers, shingles
 KMER, SKETCHES, SIMILARITY = 5, 24, 0.8
 #: Texts of one bucket that are compared at once with each other, or with as many others.
 BLOCK = 1000
-#: Kinds of words that `tally` tells apart.
+#: Kinds of words that `counts` tells apart.
 BINS = 256
+#: Words of texts that a task holds at once as lists.
+MOST_WORDS = 2_000_000
 #: Changed words up to which the band grows step by step.
 BAND = 24
 _ODD = odd_numbers(SKETCHES, 5)
@@ -68,8 +72,18 @@ def sketch(words: np.ndarray) -> np.ndarray:
 
 
 def tally(words: np.ndarray) -> bytes:
-    """How many words fall in each of BINS by their hash, 255 at most."""
-    return np.minimum(np.bincount((words >> np.uint64(40)) % np.uint64(BINS), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """The words told off in order, by 32 bits of each one's hash."""
+    return (words >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def counts(words: np.ndarray) -> np.ndarray:
+    """How many words of a tally fall in each of BINS, 255 at most."""
+    return np.minimum(np.bincount(words % np.uint32(BINS), minlength=BINS), 255).astype(np.uint8)
+
+
+def labels(words: np.ndarray) -> np.ndarray:
+    """16 bits for each word of a tally and the number of equal ones before it."""
+    return (mixed(words.astype(np.uint64) + (occurrences(words) << np.uint64(32))) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,31 +199,46 @@ def similarity(a: list[int], b: list[int], least: float = SIMILARITY) -> float:
     shared = sum((Counter(a) & Counter(b)).values())  # no alignment can match more
     if longer - shared > most:
         return 0.0
-    distance = within(a, b, most)
+    distance = within(a, b, most, BAND if longer - shared <= BAND else 0)
     return 0.0 if distance is None else 1 - distance / longer
 
 
+class Remembered(dict):
+    """Values that `make` gives for keys, words first; all are forgotten where they have more than MOST_WORDS words."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.held = make, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        self.held += len(value[0])
+        if self.held > MOST_WORDS:
+            self.clear()
+            self.held = len(value[0])
+        self[key] = value
+        return value
+
+
 def aligned(left: Column, right: Column) -> Column:
     """Similarity of two texts, or 0 if that is below SIMILARITY."""
 
     @F.pandas_udf("double")
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         hashes = WordHashes()
-        for some, others in pairs:
-            known: dict[str, tuple[list[int], set[int]]] = {}
 
-            def counted(text: str) -> tuple[list[int], set[int]]:
-                """Words, and the same as a set in which repeated words differ."""
-                if text not in known:
-                    words = hashes.of(text)
-                    known[text] = words.tolist(), set(mixed(words + occurrences(words)).tolist())
-                return known[text]
+        def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+            """Words, and the same as a set in which repeated words differ."""
+            words = hashes.of(text)
+            return words, mixed(words + occurrences(words))
 
-            out = []
+        for some, others in pairs:
+            known, out = Remembered(counted), []
             for one, other in zip(some, others):
-                (a, x), (b, y) = counted(one), counted(other)
-                longer = max(len(a), len(b))
-                out.append(similarity(a, b) if len(x & y) >= longer * SIMILARITY - 1e-6 else 0.0)
+                (a, x), (b, y) = known[one], known[other]
+                least = max(len(a), len(b)) * SIMILARITY - 1e-6
+                near = min(len(a), len(b)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least
+                out.append(similarity(a.tolist(), b.tolist()) if near else 0.0)
             yield pd.Series(out)
 
     return run(left, right)
@@ -230,13 +259,45 @@ def candidate_links(sketched: DataFrame) -> DataFrame:
 
 
 def _alike(left: np.ndarray, right: np.ndarray, longer: np.ndarray) -> np.ndarray:
-    """Whether tallies leave room for SIMILARITY: an inserted or deleted word changes them by one, a replaced by two."""
+    """Whether counts leave room for SIMILARITY: an inserted or deleted word changes them by one, a replaced by two."""
     apart = np.abs(left.astype(np.int16) - right).sum(axis=1)
     return apart <= 2 * np.floor(longer * (1 - SIMILARITY) + 1e-6)
 
 
+def _shared(tallies: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs sorted by x: how many words both texts have, by their labels; never less than they have."""
+    found, marks = np.zeros(len(x), np.int64), np.zeros(1 << 16, bool)
+    label = {i: labels(tallies[i]) for i in np.union1d(x, y).tolist()}
+    last = -1
+    for i, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        if a != last:
+            marks[:] = False
+            marks[label[a]] = True
+            last = a
+        found[i] = np.count_nonzero(marks[label[b]])
+    return found
+
+
+def _linking(tallies: list[np.ndarray], kind: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Which of the pairs are near and link two classes that the pairs before have not linked."""
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while k in parent:
+            parent[k] = k = parent.get(parent[k], parent[k])
+        return k
+
+    words, found = Remembered(lambda i: (tallies[i].tolist(),)), []
+    for i, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        u, v = root(int(kind[a])), root(int(kind[b]))
+        if u != v and similarity(words[a][0], words[b][0]) >= SIMILARITY:
+            parent[u] = v
+            found.append(i)
+    return found
+
+
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, low, high), two blocks of a bucket or one → pairs of different classes that may be near."""
+    """Rows sorted by (bucket, low, high), two blocks of a bucket or one → pairs of near texts that link classes."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         keys = [rows.column(c).to_numpy() for c in ("bucket", "low", "high")]
@@ -244,8 +305,12 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((n, *reversed(keys)))
         n, kind, block = n[order], kind[order], block[order]
         bucket, low, high = (k[order] for k in keys)
-        nodes = rows.column("node").combine_chunks().take(pa.array(order))
-        tallies = np.frombuffer(b"".join(rows.column("tally").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        taken = rows.take(pa.array(order))
+        nodes = taken.column("node").combine_chunks()
+        sketched = taken.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCHES)
+        bucket, own = bucket.view(np.uint64), sketched.sum(axis=1)
+        tallies = [np.frombuffer(t.as_buffer(), np.uint32) for t in taken.column("tally")]
+        counted = np.stack([counts(t) for t in tallies])
         first = np.ones(len(n), bool)
         first[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         starts = np.append(np.flatnonzero(first), len(n))
@@ -259,10 +324,22 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = active, active + step
             some = (kind[x] != kind[y]) & ((low[x] == high[x]) | (block[x] != block[y]))
             x, y = x[some], y[some]
-            some = _alike(tallies[x], tallies[y], n[y])
+            some = _alike(counted[x], counted[y], n[y])
+            x, y = x[some], y[some]
+            # one of the buckets that two texts share compares them, by a hash of bucket and texts
+            pair = own[x] + own[y]
+            rank = mixed(np.where(sketched[x] == sketched[y], sketched[x], bucket[x, None]) + pair[:, None])
+            some = rank.min(axis=1) >= mixed(bucket[x] + pair)
             found.append(np.stack([x[some], y[some]]))
         x, y = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["a", "b"])
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        lacking = n[y] - _shared(tallies, x, y)
+        some = np.flatnonzero(lacking <= np.floor(n[y] * (1 - SIMILARITY) + 1e-6))
+        some = some[np.argsort(lacking[some] / n[y[some]], kind="stable")]  # the likeliest first
+        x, y = x[some], y[some]
+        links = _linking(tallies, kind, x, y)
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(p[links])) for p in (x, y)], names=["a", "b"])
 
     rest: pa.Table | None = None
     for batch in batches:
@@ -281,11 +358,12 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def other_links(sketched: DataFrame, classes: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a, b: pairs to verify besides `done`, a < b; all members of a bucket whose classes differ.
+    """a, b: pairs to verify besides `done`, a < b; they link what all members of a bucket whose classes differ would link.
 
     A bucket's largest class is not compared with itself: its blocks meet those of the others only.
     """
-    members = sketched.dropDuplicates(["node"]).join(classes, "node").select("node", "n", "class", "tally", "sketch")
+    members = sketched.select("node", "n", "sketch").dropDuplicates(["node"]).join(classes, "node")
+    members = members.select("node", "n", "class", "sketch")
     members = staged(members, "members")
     met = members.select("class", F.explode("sketch").alias("bucket")).groupBy("bucket", "class").agg(F.count("*").alias("size"))
     shared = met.groupBy("bucket").agg(
@@ -295,7 +373,7 @@ def other_links(sketched: DataFrame, classes: DataFrame, done: DataFrame, block:
     shared = staged(shared.where("classes > 1 and size > 2"), "buckets")
     parts = lambda size: F.ceil(size / block).cast("int")
     large = F.col("size") > block
-    rows = members.select("node", "n", "class", "tally", F.explode("sketch").alias("bucket")).join(shared, "bucket")
+    rows = members.select("node", "n", "class", "sketch", F.explode("sketch").alias("bucket")).join(shared, "bucket")
     rows = rows.withColumn("others", F.when(large, parts(F.col("size") - F.col("most.size"))).otherwise(1))
     rows = rows.withColumn("own", F.when(large, parts(F.col("most.size"))).otherwise(0))
     main, at = large & (F.col("class") == F.col("most.class")), F.xxhash64("node")
@@ -303,8 +381,9 @@ def other_links(sketched: DataFrame, classes: DataFrame, done: DataFrame, block:
     last = F.when(main, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     low, high = F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")
-    rows = rows.select("bucket", low, high, "block", "class", "node", "n", "tally")
-    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    rows = staged(rows.select("bucket", low, high, "block", "class", "node", "n", "sketch"), "blocks")
+    told = sketched.select("node", "tally").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = rows.join(told, "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     pairs = rows.mapInArrow(compared, _PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.distinct().join(done, ["a", "b"], "left_anti")
 

@@ -147,6 +147,26 @@ def test_near_groups_are_those_of_all_pairs_in_a_bucket(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) > 5
 
 
+def test_further_links_are_fewer_than_pairs(spark):
+    rng = random.Random(3)
+    base, docs = words(rng, 120).split(), []
+    for i in range(40):
+        docs.append(" ".join(f"y{i}" if j in (30, 60, 90) else w for j, w in enumerate(base)))
+    coded = [WordHashes().of(d) for d in docs]
+    assert all(near_dedup.similarity(a.tolist(), b.tolist()) >= near_dedup.SIMILARITY for a in coded for b in coded)
+    sketched = [(bytes([i]), len(c), near_dedup.sketch(c).tolist(), near_dedup.tally(c)) for i, c in enumerate(coded)]
+    sketched = spark.createDataFrame(sketched, near_dedup._SKETCH)
+    classes = spark.createDataFrame([(bytes([i]), i, i) for i in range(40)], "node binary, first long, class long")
+    none = spark.createDataFrame([], near_dedup._PAIR)
+    for block in (7, 1000):
+        found = [(r.a[0], r.b[0]) for r in near_dedup.other_links(sketched, classes, none, block).collect()]
+        assert len(found) < 40 * 39 // 2 // 3
+        root = list(range(40))
+        for a, b in found:
+            root = [root[a] if r == root[b] else r for r in root]
+        assert len(set(root)) == 1
+
+
 def test_compact_windows_cover_every_passage_once():
     rng = np.random.default_rng(1)
     runs = rng.integers(0, 40, 90).astype(np.uint64)
