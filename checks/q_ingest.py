@@ -476,7 +476,8 @@ def _(spark, sf):
 WHERE r >= {MID}""",
 )
 def _(spark, sf):
-    found = good(spark, sf)
+    # read four times below
+    found = feed.staging(spark, "keys")(good(spark, sf).select("kind", "event_id", "received_at_ms"))
     parts = []
     for kind in ("face", "vehicle"):
         some = found.filter(F.col("kind") == kind)
