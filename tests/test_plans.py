@@ -1,11 +1,12 @@
 """Plans: what must and must not be in them."""
 
+import inspect
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from checks import feed, registry
+from checks import feed, q_jobs, registry
 from sightline.functions import times
 from sightline.operators import directory, profiles, reports, sessions, upserts
 from sightline.params import GapRules
@@ -153,3 +154,31 @@ def test_payloads_are_parsed_once(spark):
 def test_no_cross_joins(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+@pytest.fixture
+def few_events(spark, tmp_path):
+    rows = spark.range(60).selectExpr(
+        "id AS event_id",
+        "timestamp_ntz '2024-01-01' + make_dt_interval(0, cast(id * 12 AS int)) AS ts",
+        "id % 5 AS user_id",
+        "'view' AS event_type",
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_keys_asked_for_four_times_are_parsed_once(spark, few_events):
+    found = registry.QUERIES["J2_insert_if_absent"](spark, few_events)
+    assert few_events not in "".join(found.inputFiles())
+
+
+def test_deliveries_are_dealt_once(spark, few_events):
+    deliver, stream = q_jobs._delivered(spark, few_events, "dealt")
+    dealt = inspect.getclosurevars(deliver).nonlocals["dealt"]
+    assert few_events not in "".join(dealt.inputFiles())
+    deliver(range(1, 5))
+    path = inspect.getclosurevars(deliver).nonlocals["path"]
+    stored = spark.read.parquet(path)
+    assert len(stored.inputFiles()) == 5
+    assert stored.count() == stored.select("event_id").distinct().count() == 45
