@@ -167,6 +167,28 @@ def test_further_links_are_fewer_than_pairs(spark):
         assert len(set(root)) == 1
 
 
+def test_windows_of_texts_together_are_those_of_each_alone():
+    rng = np.random.default_rng(4)
+    sizes = np.array([3, 46, 47, 0, 300, 1, 90, 45, 60])
+    texts = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in sizes]
+    texts[6][:] = 7  # ties go to the first place
+    text, *found = substring_dedup.windows_of(np.concatenate(texts), sizes)
+    for i, runs in enumerate(texts):
+        least = substring_dedup.LEAST_RUNS
+        bits = np.uint64(len(runs).bit_length())
+        expected = []
+        for kind, odd in enumerate(substring_dedup._ODD):
+            hashed = runs * odd
+            hashed ^= hashed >> np.uint64(31)
+            ranks = [(int(h >> bits), place) for place, h in enumerate(hashed)]
+            ends = range(len(runs) - least + 1)
+            for place in sorted({min(range(k, k + least), key=ranks.__getitem__) for k in ends}):
+                left = next((k + 1 for k in range(place - 1, -1, -1) if ranks[k] < ranks[place]), 0)
+                right = next((k - 1 for k in range(place + 1, len(runs)) if ranks[k] < ranks[place]), len(runs) - 1)
+                expected.append((kind, int(hashed[place]), place, left, right))
+        assert list(zip(*(x[text == i].tolist() for x in found))) == expected
+
+
 def test_compact_windows_cover_every_passage_once():
     rng = np.random.default_rng(1)
     runs = rng.integers(0, 40, 90).astype(np.uint64)
