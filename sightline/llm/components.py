@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Links that a file of a round holds; a file for each task would mean many tiny ones where links are few.
+LINKS_PER_FILE = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest one around it."""
@@ -36,6 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not found.n or (found.n, found.sum) == state:
             break
         state = (found.n, found.sum)
-        edges = staged(_small_star(_large_star(edges)), "links")
+        # a round never makes more links than there were
+        files = 1 + found.n // LINKS_PER_FILE
+        edges = staged(_small_star(_large_star(edges)).coalesce(files), "links")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sightline.llm import elias_fano, exact_dedup, lm_scoring, near_dedup, substring_dedup
+from sightline.llm import components, elias_fano, exact_dedup, lm_scoring, near_dedup, substring_dedup
 from sightline.llm.words import WordHashes, shingles
 
 from .conftest import words
@@ -167,6 +167,30 @@ def test_further_links_are_fewer_than_pairs(spark):
         assert len(set(root)) == 1
 
 
+def test_rounds_of_few_links_write_few_files(spark, monkeypatch):
+    written = []
+
+    def counted(df, label):
+        written.append(df.rdd.getNumPartitions())
+        return staged(df, label)
+
+    staged = components.staged
+    monkeypatch.setattr(components, "staged", counted)
+    merges = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merges, "false")
+    try:
+        chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+        found = components.components(chain)
+        assert sorted((r.node, r.root) for r in found.collect()) == [(i, 0) for i in range(21)]
+        assert set(written[1:]) == {1}
+        del written[:]
+        monkeypatch.setattr(components, "LINKS_PER_FILE", 5)
+        assert {r.root for r in components.components(chain).collect()} == {0}
+        assert max(written[1:]) > 1
+    finally:
+        spark.conf.unset(merges)
+
+
 def test_windows_of_texts_together_are_those_of_each_alone():
     rng = np.random.default_rng(4)
     sizes = np.array([3, 46, 47, 0, 300, 1, 90, 45, 60])
