@@ -143,9 +143,13 @@ def parts_to_read(tables: Tables, keys: DataFrame, own: str = "") -> tuple[DataF
 
 def known(tables: Tables, keys: DataFrame, own: str = "") -> DataFrame:
     """`keys` (kind, key) that are listed, but for the part `own`, with the id of a delivery (`ref`)."""
+    none = keys.select("kind", "key", F.lit(None).cast("string").alias("ref")).limit(0)
+    # a ledger without other parts lists nothing, whatever the keys: they are not read
+    if tables.read("ledger_files").filter(F.col("part") != own).isEmpty():
+        return none
     hits, places = parts_to_read(tables, keys, own)
     if not places:
-        return hits.select("kind", "key", F.lit(None).cast("string").alias("ref")).limit(0)
+        return none
     wanted = reduce(
         Column.__or__,
         [

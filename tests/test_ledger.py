@@ -139,3 +139,14 @@ def test_retention_unlists_what_it_deletes(spark, tables):
     assert listed(spark, tables, "notes", "key-n-p1", "key-n-p2") == [] and listed(spark, tables, "vehicle", "v1") == []
     key_ledger.drop_expired(tables, T + 370 * DAY_MS)
     assert [r.kind for r in tables.read("key_ledger").collect()] == ["face"]
+
+
+def test_a_ledger_without_parts_is_asked_nothing(spark, tables, monkeypatch):
+    keys = spark.createDataFrame([("face", "f1"), ("notes", None)], "kind string, key string")
+    monkeypatch.setattr(key_ledger, "parts_to_read", lambda *_: pytest.fail("the keys were read"))
+    found = key_ledger.known(tables, keys)
+    assert found.columns == ["kind", "key", "ref"] and found.count() == 0
+    monkeypatch.undo()
+    store(spark, tables, "own", "f1")
+    assert key_ledger.known(tables, keys, "own").count() == 0
+    assert [r.key for r in key_ledger.known(tables, keys, "other").collect()] == ["f1"]
